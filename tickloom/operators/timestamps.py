@@ -180,11 +180,10 @@ def normalize_timestamps(df: DataFrame, feeds: DataFrame, text: str = "timestamp
         .when(ok2 & ~ok1, u2),
     )
     u = F.col("__u")
-    result = s.withColumns({
-        status: F.when(raw.isNull(), "null").when(u.isNotNull(), "ok").when(ok1 & ok2, "ambiguous").when(~ok1 & ~ok2, "nonexistent").otherwise("invalid"),
-        out: F.when(raw.isNotNull(), F.coalesce(u, F.lit(-1).cast("long"))),
-    })
-    return result.select(*names, out, status)
+    state = F.when(raw.isNull(), "null").when(u.isNotNull(), "ok").when(ok1 & ok2, "ambiguous").when(~ok1 & ~ok2, "nonexistent").otherwise("invalid")
+    instant = F.when(raw.isNotNull(), F.coalesce(u, F.lit(-1).cast("long")))
+    # a generator: later filters on the instant would else be pushed down through the cascade, which copies it
+    return s.select(*names, F.inline(F.array(F.struct(instant.alias(out), state.alias(status)))))
 
 
 def is_plain(text: Column) -> Column:

@@ -18,8 +18,11 @@ empty frame gives an empty one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,15 +45,33 @@ def cover(lo: int, hi: int) -> list[int]:
     return out if lo <= hi else []
 
 
-def _tree(leaves: Column) -> Column:
-    """Heap-ordered tree (index 0 unused) over an array of SHARD leaves."""
-    levels = [leaves]
+@F.pandas_udf("array<bigint>")
+def _tree(days: pd.Series, values: pd.Series) -> pd.Series:
+    """One heap-ordered tree (index 0 unused) per row from its leaves' positions and values."""
+    t = np.zeros((len(days), 2 * SHARD), np.int64)
+    if len(days):
+        row = np.repeat(np.arange(len(days)), days.map(len))
+        t[row, SHARD + np.concatenate(days.to_list()).astype(np.int64)] = np.concatenate(values.to_list())
     size = SHARD
     while size > 1:
+        t[:, size // 2 : size] = t[:, size : 2 * size : 2] + t[:, size + 1 : 2 * size : 2]
         size //= 2
-        below = levels[-1]
-        levels.append(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i, x=below: F.get(x, i * 2) + F.get(x, i * 2 + 1)))
-    return F.concat(F.array(F.lit(0).cast("long")), *reversed(levels))
+    return pd.Series(list(t))
+
+
+def _answer(periods: tuple[int, ...]) -> Callable[..., Column]:
+    """An expression of (tree, tree before): SHARD totals for each period, one period after the other."""
+    own = [cover(max(0, d - p + 1), d) for p in periods for d in range(SHARD)]
+    before = [cover(SHARD + d - p + 1, SHARD - 1) if d < p - 1 else [] for p in periods for d in range(SHARD)]
+
+    @F.pandas_udf("array<bigint>")
+    def answer(tree: pd.Series, prev: pd.Series) -> pd.Series:
+        if not len(tree):
+            return pd.Series([], dtype=object)
+        t, p = np.stack(tree.to_list()), np.stack(prev.to_list())
+        return pd.Series(list(np.stack([t[:, a].sum(1) + p[:, b].sum(1) for a, b in zip(own, before)], 1)))
+
+    return answer
 
 
 def daily(df: DataFrame, keys: list[str], at_us: str, value: str, version: list[str], scale: int = 100) -> DataFrame:
@@ -66,13 +87,11 @@ def build_trees(days: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, time_shard, first, last, sums, counts): one row per entity and shard that has rows."""
     d = F.pmod(F.col("__day"), F.lit(SHARD))
     g = days.groupBy(*keys, floor_div(F.col("__day"), SHARD).cast("int").alias("time_shard")).agg(
-        F.map_from_entries(F.collect_list(F.struct(d, F.struct("__sum", "__n")))).alias("m"),
+        F.collect_list(F.struct(d.alias("d"), F.col("__sum").alias("s"), F.col("__n").alias("n"))).alias("m"),
         F.min("__day").alias("first"),
         F.max("__day").alias("last"),
     )
-    leaf = lambda f: F.transform(F.sequence(F.lit(0), F.lit(SHARD - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i)[f], F.lit(0).cast("long")))
-    leaves = g.select(*keys, "time_shard", "first", "last", leaf("__sum").alias("s"), leaf("__n").alias("n"))
-    return leaves.select(*keys, "time_shard", "first", "last", _tree(F.col("s")).alias("sums"), _tree(F.col("n")).alias("counts"))
+    return g.select(*keys, "time_shard", "first", "last", _tree(F.col("m.d"), F.col("m.s")).alias("sums"), _tree(F.col("m.d"), F.col("m.n")).alias("counts"))
 
 
 def correct(trees: DataFrame, deltas: DataFrame, keys: list[str]) -> DataFrame:
@@ -103,12 +122,6 @@ def correct(trees: DataFrame, deltas: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _answers(periods: tuple[int, ...]) -> tuple[list[list[list[int]]], list[list[list[int]]]]:
-    own = [[cover(max(0, d - p + 1), d) for d in range(SHARD)] for p in periods]
-    prev = [[cover(SHARD + d - p + 1, SHARD - 1) if d - p + 1 < 0 else [] for d in range(SHARD)] for p in periods]
-    return own, prev
-
-
 def query_trees(trees: DataFrame, keys: list[str], periods: tuple[int, ...] = (7, 30)) -> DataFrame:
     """(keys, day, sum_P, n_P ...) for each day from an entity's first to its last, days without rows included."""
     if max(periods) > SHARD:
@@ -131,18 +144,13 @@ def query_trees(trees: DataFrame, keys: list[str], periods: tuple[int, ...] = (7
     pick_prev = lambda c: F.when(own, F.when(near, F.col(f"p_{c}")).otherwise(zero)).when(first_gap, F.col(c)).otherwise(zero)
     lo = F.greatest(F.col("from"), F.col("x") * SHARD)
     hi = F.least(F.col("to"), F.col("x") * SHARD + SHARD - 1)
-    own_nodes, prev_nodes = _answers(periods)
-    table = lambda nodes: F.array(*[F.array(*[F.lit(n) for n in ns]).cast("array<int>") for ns in nodes])
-
-    def total(tree: Column, prev: Column, k: int, d: Column) -> Column:
-        add = lambda tr, nodes: F.aggregate(F.get(nodes, d), F.lit(0).cast("long"), lambda acc, i: acc + F.get(tr, i))
-        return add(tree, table(own_nodes[k])) + add(prev, table(prev_nodes[k]))
-
-    t = t.select(*keys, F.col("x"), lo.alias("lo"), hi.alias("hi"), pick("sums").alias("s"), pick("counts").alias("n"), pick_prev("sums").alias("ps"), pick_prev("counts").alias("pn"))
-    day = lambda i: F.pmod(i, F.lit(SHARD))
+    t = t.select(*keys, lo.alias("lo"), hi.alias("hi"), pick("sums").alias("s"), pick("counts").alias("n"), pick_prev("sums").alias("ps"), pick_prev("counts").alias("pn"))
+    answer = _answer(periods)
+    t = t.withColumns({"s": answer("s", "ps"), "n": answer("n", "pn")})
+    at = lambda c, k, i: F.get(F.col(c), F.pmod(i, F.lit(SHARD)) + k * SHARD)
     per_day = F.transform(
         F.sequence("lo", "hi"),
-        lambda i: F.struct(i.alias("day"), *[x for k, p in enumerate(periods) for x in (total(F.col("s"), F.col("ps"), k, day(i)).alias(f"sum_{p}"), total(F.col("n"), F.col("pn"), k, day(i)).alias(f"n_{p}"))]),
+        lambda i: F.struct(i.alias("day"), *[x for k, p in enumerate(periods) for x in (at("s", k, i).alias(f"sum_{p}"), at("n", k, i).alias(f"n_{p}"))]),
     )
     return t.select(*keys, F.explode(per_day).alias("r")).select(*keys, "r.*")
 
