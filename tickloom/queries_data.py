@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from tickloom.operators.changes import changed_since, last_successful_runs
 from tickloom.operators.grid import missing_slots, regular_grid, series_points
 from tickloom.operators.nearest import nearest_join
+from tickloom.operators.spikes import Level, Wick, flag_implausible, flagged
 from tickloom.operators.timestamps import is_plain, normalize_timestamps
 from tickloom.operators.trailing import trailing_totals
-from tickloom.util import SECOND, table
+from tickloom.util import SECOND, table, timeframe_us
 
 SOURCE = ["symbol", "exchange", "shard", "timeframe"]
 
@@ -62,5 +63,14 @@ def p5_grid(spark: SparkSession, d: str) -> DataFrame:
     return regular_grid(p5_readings(spark, d), keys).select(*keys, "slot_us", "n_readings", F.round("avg", 6).alias("avg"), F.round("coverage", 6).alias("coverage"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p5_grid)}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    bars = bars_with_instants(spark, d).withColumn("arrived", F.unix_micros("received_at") - F.coalesce(timeframe_us(F.col("timeframe")), F.lit(0)))
+    b = flag_implausible(bars, SOURCE, "ts_us", "bar_id", [Wick("high"), Wick("low"), Level("volume", floor=0.35)], "arrived")
+    book = table(spark, d, "orderbook").select("symbol", "exchange", "shard", F.unix_micros("timestamp").alias("ts_us"), F.unix_micros("received_at").alias("arrived"), "book_id", "spread_bps")
+    o = flag_implausible(book, SOURCE[:3], "ts_us", "book_id", [Level("spread_bps", top=20_000.0)], "arrived")
+    hits = flagged(b, "bar_id").select("bar_id")
+    return hits.select(F.lit("bars").alias("tbl"), F.col("bar_id").alias("record_id")).union(flagged(o, "book_id").select(F.lit("orderbook").alias("tbl"), F.col("book_id").alias("record_id")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p5_grid, p6_found)}
 ORACLES: dict[str, str] = {}
