@@ -135,7 +135,10 @@ def judge(x: np.ndarray, residual: np.ndarray, scale: np.ndarray, bad: np.ndarra
     """State of each reading of one field; ``seg`` numbers the segments."""
     same, run, length = run_lengths(x, seg)
     # how common the value is in its segment, besides its own run
-    _, pair = np.unique(np.stack([seg.astype(float), x]), axis=1, return_inverse=True)
+    order = np.lexsort((x, seg))
+    new = np.r_[True, (x[order][1:] != x[order][:-1]) | (seg[order][1:] != seg[order][:-1])]
+    pair = np.empty(len(x), int)
+    pair[order] = np.cumsum(new) - 1
     total = np.bincount(pair)[pair]
     size = np.bincount(seg)[seg]
     common = (total - length + 0.5) / np.maximum(size - length + 1, 1)
