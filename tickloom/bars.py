@@ -41,10 +41,10 @@ def bars_from_ticks(ticks: DataFrame, symbol: str, ts: str, tie: str, price: str
     return bars.select("symbol", F.lit(timeframe).alias("timeframe"), F.lit(source).alias("source"), "ts", "open", "high", "low", "close", "volume", F.lit(True).alias("is_closed"))
 
 
-def bars_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly bars per event type."""
+def bars_from_events(spark: SparkSession, sf_dir: str, timeframe: str = "1h") -> DataFrame:
+    """Bars per event type."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "ts", "event_id", "value")
-    return bars_from_ticks(events, "event_type", "ts", "event_id", "value")
+    return bars_from_ticks(events, "event_type", "ts", "event_id", "value", timeframe)
 
 
 def trades_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,8 +162,8 @@ def upsample(df: DataFrame, factor: int) -> DataFrame:
     """Each row ``factor`` times at its own ts, the last of a key once; ``copy`` numbers them."""
     if factor < 1:
         raise ValueError("factor must be at least 1")
-    last = F.lead(F.lit(1)).over(w_keys(df)).isNull()
-    return df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.when(last, 0).otherwise(factor - 1))))
+    rows = df.withColumn("__last", F.lead(F.lit(1)).over(w_keys(df)).isNull())
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.when(F.col("__last"), 0).otherwise(factor - 1)))).drop("__last")
 
 
 def sync(series: DataFrame, reference: DataFrame, value: str = "value", how: str = "ffill", by: list[str] | None = None) -> DataFrame:
