@@ -25,10 +25,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from tickloom.util import DAY, floor_div
 
 SHARD = 64  # days; a power of two, and no period is longer
+LONGS = ArrayType(LongType())
 
 
 def cover(lo: int, hi: int) -> list[int]:
@@ -45,7 +47,7 @@ def cover(lo: int, hi: int) -> list[int]:
     return out if lo <= hi else []
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(LONGS)
 def _tree(days: pd.Series, values: pd.Series) -> pd.Series:
     """One heap-ordered tree (index 0 unused) per row from its leaves' positions and values."""
     t = np.zeros((len(days), 2 * SHARD), np.int64)
@@ -64,7 +66,7 @@ def _answer(periods: tuple[int, ...]) -> Callable[..., Column]:
     own = [cover(max(0, d - p + 1), d) for p in periods for d in range(SHARD)]
     before = [cover(SHARD + d - p + 1, SHARD - 1) if d < p - 1 else [] for p in periods for d in range(SHARD)]
 
-    @F.pandas_udf("array<bigint>")
+    @F.pandas_udf(LONGS)
     def answer(tree: pd.Series, prev: pd.Series) -> pd.Series:
         if not len(tree):
             return pd.Series([], dtype=object)
