@@ -75,7 +75,7 @@ def cuts(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     x = codes.astype(np.uint32) + np.uint32(1)
     for k in range(WINDOW):
         h *= MULTIPLIER
-        h[k:] += x[: n - k]
+        h[k:] += x[: max(0, n - k)]
     h ^= h >> np.uint32(15)
     proposed = np.flatnonzero((h & np.uint32(MASK)) == 0) + 1
     # repair: on to the next place where both sides agree with the whole
