@@ -81,8 +81,9 @@ def _local(u: Column, zone: Column) -> Column:
     return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(u), zone))
 
 
-def _known_zones(df: DataFrame) -> list[str]:
-    return sorted(df.sparkSession._jvm.java.time.ZoneId.getAvailableZoneIds())
+def _known_zones(df: DataFrame) -> str:
+    """The names of all zones as an SQL list."""
+    return ", ".join(f"'{z}'" for z in sorted(df.sparkSession._jvm.java.time.ZoneId.getAvailableZoneIds()))
 
 
 def normalize_timestamps(df: DataFrame, feeds: DataFrame, text: str = "timestamp", source: str = "exchange", zone: str = "zone", day_order: str = "day_order", out: str = "ts_us", status: str = "ts_status", max_feeds: int = 10_000) -> DataFrame:
@@ -90,7 +91,7 @@ def normalize_timestamps(df: DataFrame, feeds: DataFrame, text: str = "timestamp
     one = lambda c: F.when(F.count_distinct(c) == 1, F.max(c))
     lookup = feeds.where(F.col(source).isNotNull()).groupBy(F.col(source).alias("__src")).agg(one(zone).alias("__zone"), one(day_order).alias("__order"))
     zones = _known_zones(df)
-    lookup = lookup.withColumn("__zone", F.when(F.col("__zone").isin(zones), F.col("__zone")))
+    lookup = lookup.withColumn("__zone", F.expr(f"CASE WHEN __zone IN ({zones}) THEN __zone END"))
     base = df.drop(out, status)
     names = base.columns
     base = base.join(bounded_broadcast(lookup, max_feeds), base[source] == F.col("__src"), "left").drop("__src")
@@ -149,7 +150,7 @@ def normalize_timestamps(df: DataFrame, feeds: DataFrame, text: str = "timestamp
     s = s.withColumns({
         "__wall": F.when(dow_ok, days * DAY + clock),
         "__off": F.coalesce(off_min, abbr_min).cast("long") * MINUTE,
-        "__tz": F.when(~has_zone_text, F.when(F.col("__named").isNull(), F.col("__zone")).when(F.col("__named").isin(zones), F.col("__named"))),
+        "__tz": F.when(~has_zone_text, F.when(F.col("__named").isNull(), F.col("__zone")).otherwise(F.expr(f"CASE WHEN __named IN ({zones}) THEN __named END"))),
     })
     wall, tz = F.col("__wall"), F.col("__tz")
     # one offset holds a day before, one a day after: the wall time exists under each of them or not

@@ -189,7 +189,7 @@ def _oracles() -> dict[str, tuple[dict, str]]:
     one("cmf", safe("a", "z", "0.0"), {"f": safe(f"({C} - low) - (high - {C})", "high - low", "0.0")}, {"fv": "f * volume"}, {"a": roll("sum", "fv", 20), "z": roll("sum", "volume", 20)}, period=20)
     force = {"t1": lag("tp")}
     vf = {"vf": "CASE WHEN rn = 1 THEN 0.0 ELSE volume * abs(2 * ((tp - t1) / CASE WHEN high - low <= 0 THEN 1e-10 ELSE high - low END) - 1) * CASE WHEN tp > t1 THEN 1 ELSE -1 END * 100 END"}
-    # over four hours: bars without any range would give numbers too large to compare to six places
+    # over days: bars without any range would give numbers too large to compare to six places
     put("klinger_vf", {"klinger_vf": "vf"}, force, vf)
     put("klinger", {"klinger_klinger": "m", "klinger_signal": smooth("lm", 2 / 14)}, force, vf, {"l": upto("vf")}, {"m": f"{smooth('l', 2 / 35)} - {smooth('l', 2 / 56)}"}, {"lm": upto("m")})
     for name, cond in (("crossup", f"{C} > open AND c1 <= o1"), ("crossdown", f"{C} < open AND c1 >= o1"), ("cross", f"({C} > open AND c1 <= o1) OR ({C} < open AND c1 >= o1)"), ("rising", f"{C} > c1"), ("falling", f"{C} < c1"), ("rising_pct", f"{C} >= c1 * 1.05"), ("falling_pct", f"{C} <= c1 * 0.95")):
@@ -215,7 +215,7 @@ def _oracles() -> dict[str, tuple[dict, str]]:
     one("swing_high_at", nth("lh", 2), *swings, {"l": f"list_filter({upto('lh')}, lambda x: x IS NOT NULL)"}, index=2)
     one("swing_low_at", nth("ll", 1), *swings, {"l": f"list_filter({upto('ll')}, lambda x: x IS NOT NULL)"}, index=1)
     for name in LONG_BARS:
-        o[name] = (o[name][0], o[name][1].replace("date_trunc('hour', ts)", "time_bucket(INTERVAL 4 HOURS, ts)"))
+        o[name] = (o[name][0], o[name][1].replace("date_trunc('hour', ts)", "date_trunc('day', ts)"))
     return o
 
 
@@ -333,7 +333,7 @@ EXPRESSIONS: dict[str, tuple[str, str]] = {
 OPERATORS = _oracles()
 STATEFUL = _stateful_sql()
 _CHANNELS = ("in_channel", "out_channel", "enter", "exit")
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: partial(channel, n) if n in _CHANNELS else partial(operator, n, p, timeframe="4h" if n in LONG_BARS else "1h") for n, (p, _) in OPERATORS.items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: partial(channel, n) if n in _CHANNELS else partial(operator, n, p, timeframe="1d" if n in LONG_BARS else "1h") for n, (p, _) in OPERATORS.items()}
 QUERIES |= {n: partial(operator, n, {}) for n in STATEFUL}
 QUERIES |= {n: partial(expression, t) for n, (t, _) in EXPRESSIONS.items()}
 QUERIES |= {f"downsample_{h}": partial(downsample, h) for h in B.AGGREGATES}
