@@ -14,7 +14,7 @@ from tickloom import registry
 from tickloom.bars import BarSet
 from tickloom.functions import kernels as K
 from tickloom.plans import ir
-from tickloom.plans.compile import analyze, evaluate, recent, triggers, validate
+from tickloom.plans.compile import analyze, evaluate, evaluate_split, recent, triggers, validate
 from tickloom.plans.parser import ExpressionError, parse
 from tickloom.plans.planner import plan
 from tickloom.sources import csv, records
@@ -277,6 +277,24 @@ def test_one_exchange_for_many_windows(spark):
     assert q.count("MapInPandas") + q.count("PythonMapInArrow") <= 1
 
 
+BOUNDED = ["sma(close, 7)", "rolling_median(9)", "wma(70)", "hma(9)", "bbands(5).upper", "ichimoku(3, 5, 9, 4).senkou_span_b", "ichimoku(3, 5, 9, 4).chikou_span", "stochastic(5, 3, 2).d", "cci(6)", "roc(5)", "williams_r(5)", "cmo(5)", "ao(3, 8)", "coppock(4, 5, 7)", "mfi(5)", "vortex(5).plus", "donchian(5).middle", "cmf(5)", "klinger_vf()", "true_range()", "crossup(close, sma(close, 5))", "rising(close)", "swing_highs(2, 2)", "rolling_argmin(6)", "close.ago('9h')", "sign(close)"]
+
+
+def test_keys_cut_into_pieces(spark):
+    rnd = random.Random(8)
+    c = [rnd.uniform(10, 20) for _ in range(300)]
+    v = [rnd.uniform(1, 5) for _ in range(300)]
+    df = frame(spark, c, [x + rnd.random() for x in c], [x - rnd.random() for x in c], v).unionByName(frame(spark, v[:40], symbol="Y"))
+    named = {f"v{i}": t for i, t in enumerate(BOUNDED)}
+    rounded = lambda d: sorted(tuple(round(x, 8) if isinstance(x, float) else x for x in r) for r in d.select("symbol", F.col("ts").cast("string"), *[F.coalesce(F.col(n).cast("double"), F.lit(-9e9)) for n in named]).collect())
+    assert rounded(evaluate_split(df, 80, **named)) == rounded(evaluate(df, **named))
+    for text in ("ema(3)", "obv()", "close.sum()", "swing_lows(2, 2)"):
+        with pytest.raises(ExpressionError):
+            evaluate_split(df, 80, v=text)
+    with pytest.raises(ValueError):
+        evaluate_split(df, 5, v="sma(close, 9)")
+
+
 # registry
 
 

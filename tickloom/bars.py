@@ -202,3 +202,9 @@ def align(left: DataFrame, right: DataFrame, how: str = "inner", fill: str = "no
     w = Window.partitionBy("symbol", "timeframe").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     filled = lambda c, seed: F.coalesce(F.last(c, ignorenulls=True).over(w), F.lit(seed).cast("double"))
     return j.withColumns({"left": filled("left", seed_left), "right": filled("right", seed_right)})
+
+
+def ref(bars: DataFrame, timeframe: str, name: str, reference: DataFrame, value: str = "value") -> DataFrame:
+    """The reference with a field of another timeframe, as of each of its instants."""
+    series = bars.where(F.col("timeframe") == timeframe).select("symbol", "ts", field(name, bars.columns).alias(value))
+    return sync(series, reference, value)

@@ -21,7 +21,7 @@ class Build:
     sort. Scans are gathered and run together in one pass over the sorted rows.
     """
 
-    def __init__(self, df: DataFrame, keys: list[str] | None = None):
+    def __init__(self, df: DataFrame, keys: list[str] | None = None, rn: str | None = None):
         self.base = list(df.columns)
         self.keys = keys or KEYS
         self.order = order(df)
@@ -29,7 +29,7 @@ class Build:
         self._n = 0
         self._pending: list[tuple[Kernel, list[str], list[str]]] = []
         self._spec = Window.partitionBy(*self.keys).orderBy(*self.order)
-        self._rn: Column | None = None
+        self._rn: Column | None = F.col(rn) if rn else None  # the number of the row within its key, if it is known already
 
     # columns
 

@@ -5,16 +5,17 @@ from __future__ import annotations
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom import registry
-from tickloom.bars import BarSet
+from tickloom.bars import BarSet, order
 from tickloom.functions.build import Build
 from tickloom.functions.indicators import safe_div
 from tickloom.plans import ir
 from tickloom.plans.parser import ExpressionError, bind, boolean
 from tickloom.plans.planner import Plan, plan
+from tickloom.schema import KEYS
 
 
 def _lower(b: Build, root: ir.Node) -> Column:
@@ -87,6 +88,42 @@ def _lower(b: Build, root: ir.Node) -> Column:
     return visit(root)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The frame with ``__rn``, each row's number in its key, without bringing a key into one task.
+
+    Rows are numbered within a day; the counts of the days before are added.
+    """
+    day = df.withColumn("__day", F.unix_date(F.col("ts").cast("date")))
+    counts = day.groupBy(*KEYS, "__day").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*KEYS).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*KEYS, "__day", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    within = Window.partitionBy(*KEYS, "__day").orderBy(*order(df))
+    return day.join(counts, [*KEYS, "__day"]).withColumn("__rn", F.row_number().over(within) + F.col("__before")).select(*df.columns, "__rn")
+
+
+def evaluate_split(df: DataFrame, piece_rows: int = 1_000_000, **named: str) -> DataFrame:
+    """As ``evaluate``, for keys too large for one task: they are cut into pieces of ``piece_rows`` rows.
+
+    Each piece brings along as many rows of its neighbours as the expressions look
+    back (or ahead). Only for expressions with a bounded number of rows: what is cumulative or recursive needs
+    all of its past.
+    """
+    plans = {k: plan(t) for k, t in named.items()}
+    for k, p in plans.items():
+        if not p.bounded:
+            raise ExpressionError(f"{named[k]!r} needs all rows before")
+    margin = max([1, *[n for p in plans.values() for n in p.lookback.values()]])
+    if piece_rows < margin:
+        raise ValueError(f"a piece must have at least {margin} rows")
+    rows = numbered(df)
+    home = F.floor((F.col("__rn") - 1) / piece_rows)
+    reach = F.array_distinct(F.array(home, F.floor((F.col("__rn") - 1 - margin) / piece_rows), F.floor((F.col("__rn") - 1 + margin) / piece_rows)))
+    rows = rows.withColumns({"__home": home, "__piece": F.explode(reach)})
+    b = Build(rows, [*KEYS, "__piece"], rn="__rn")
+    columns = {k: _lower(b, p.root) for k, p in plans.items()}
+    return b.done(**columns).where(F.col("__home") == F.col("__piece")).select(*df.columns, *named)
+
+
 def _finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
 
@@ -109,10 +146,6 @@ def recent(df: DataFrame, p: Plan) -> DataFrame:
     """Only the rows that the last value of each key needs, if their number is bounded."""
     if not p.bounded or not p.lookback:
         return df
-    from tickloom.bars import order
-    from tickloom.schema import KEYS
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*KEYS).orderBy(*[F.desc(c) for c in order(df)])
     return df.withColumn("__back", F.row_number().over(w)).where(F.col("__back") <= max(p.lookback.values())).drop("__back")
 

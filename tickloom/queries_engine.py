@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from tickloom import bars as B
 from tickloom import registry
-from tickloom.plans.compile import evaluate
-from tickloom.schema import derived
+from tickloom.plans.compile import evaluate, evaluate_split, triggers
+from tickloom.schema import bar_is_valid, derived, nan_to_null, to_instant
+from tickloom.sources.records import from_json, points, to_json
+from tickloom.streaming.stream import Node, Stepper
 
 # -- Spark side
 
@@ -315,6 +317,85 @@ def crossings(spark: SparkSession, d: str) -> DataFrame:
     return result(df.where("hit"), "close", "mean")
 
 
+def ref(spark: SparkSession, d: str) -> DataFrame:
+    """The close of the longer timeframe as of each bar, beside the bar's own."""
+    bars = B.bars_from_events(spark, d)
+    return result(B.ref(bars.unionByName(B.resample_clock(bars, "1d").withColumn("is_closed", F.lit(True))), "1d", "close", bars), "close", "value")
+
+
+def slice_time(spark: SparkSession, d: str) -> DataFrame:
+    at = lambda t: F.lit(t).cast("timestamp")
+    return result(B.slice_time(B.bars_from_events(spark, d), at("2024-01-05 00:00:00"), at("2024-01-06 12:00:00")), "close")
+
+
+def filter_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows on which a condition holds; the others are dropped."""
+    return result(triggers(B.bars_from_events(spark, d), "close > open and volume > 500"), "close")
+
+
+def dataset_info(spark: SparkSession, d: str) -> DataFrame:
+    i = B.BarSet(B.bars_from_events(spark, d)).info()
+    return i.select("symbol", "n", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"))
+
+
+def append_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Two parts of the bars put together again, and what stands against it."""
+    bars = B.bars_from_events(spark, d)
+    early, late = bars.where(F.dayofmonth("ts") <= 10), bars.where(F.dayofmonth("ts") > 10)
+    out = B.append(early, late).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    wrong = B.append_problems(late, early).groupBy("symbol").agg(F.sum("n").alias("too_early"))
+    return out.join(wrong, "symbol", "left").select("symbol", "n", F.coalesce("too_early", F.lit(0)).cast("long").alias("too_early"))
+
+
+def series_points(spark: SparkSession, d: str) -> DataFrame:
+    """Points with a value as JSON."""
+    df = registry.apply(B.bars_from_events(spark, d), "rolling_max", period=30)
+    return points(df, "rolling_max").select("symbol", F.unix_micros("ts").alias("ts_us"), F.get_json_object("point", "$.value").cast("double").alias("value"), F.get_json_object("point", "$.time").alias("time"))
+
+
+def json_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    bars = B.bars_from_events(spark, d)
+    return result(from_json(to_json(bars), bars.schema), "open", "high", "low", "close", "volume")
+
+
+def bar_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Bars that are as bars must be, and those that are not, per symbol of ``bars``."""
+    b = spark.read.parquet(f"{d}/bars.parquet").select("symbol", "open", "high", "low", "close", "volume")
+    return nan_to_null(b).groupBy("symbol").agg(F.count(F.when(bar_is_valid(), 1)).alias("valid"), F.count(F.when(~bar_is_valid(), 1)).alias("invalid"))
+
+
+def loose_instants(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of any unit and ISO texts as instants."""
+    li = spark.read.parquet(f"{d}/liquidations.parquet").where("timestamp is not null").select("liquidation_id", F.unix_micros("timestamp").alias("u"))
+    n = F.pmod("liquidation_id", F.lit(4))
+    text = F.when(n == 0, F.floor(F.col("u") / 1_000_000).cast("string")).when(n == 1, F.floor(F.col("u") / 1000).cast("string")).when(n == 2, F.col("u").cast("string")).otherwise(F.date_format(F.timestamp_micros("u"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return li.select("liquidation_id", F.floor(F.unix_micros(to_instant(text)) / 1_000_000).alias("second"))
+
+
+def stream_rsi(spark: SparkSession, d: str) -> DataFrame:
+    """RSI and EMA by stepping a saved and restored state bar by bar, key by key, as a stream does."""
+    nodes = (Node("rsi", "rsi", (14,)), Node("ema", "ema", (20,)))
+
+    def step(pdf):
+        import pandas as pd
+
+        stepper, rows = Stepper(*nodes), []
+        for i, bar in enumerate(pdf.sort_values("ts").to_dict("records")):
+            if i % 50 == 49:  # as after a restart
+                saved, stepper = stepper.snapshot(), Stepper(*nodes)
+                stepper.restore(saved)
+            rows.append((bar["symbol"], bar["ts"], *stepper.step(bar).values()))
+        return pd.DataFrame(rows, columns=["symbol", "ts", "rsi", "ema"])
+
+    out = B.bars_from_events(spark, d).select("symbol", "ts", "close").groupBy("symbol").applyInPandas(step, "symbol string, ts timestamp, rsi double, ema double")
+    return result(out, "rsi", "ema")
+
+
+def split_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows over keys that are cut into pieces, as for a key that is too large for one task."""
+    return result(evaluate_split(B.bars_from_events(spark, d), 100, value="sma(close, 20) + hma(9) - close.ago('3h')"), "value")
+
+
 EXPRESSIONS: dict[str, tuple[str, str]] = {
     "expr_trend_and_momentum": ("(sma(20) > sma(50)) and (rsi(14) < 30)", sql({"value": "!coalesce(m > n, false) AND coalesce(CASE WHEN s = 0 THEN CASE WHEN g > 0 THEN 100.0 ELSE 50.0 END ELSE 100 - 100 / (1 + g / s) END < 30, false)"}, {"d": f"{C} - {lag(C)}", "m": roll("avg", C, 20), "n": roll("avg", C, 50)}, {"lg": upto("CASE WHEN d IS NULL THEN NULL ELSE greatest(d, 0) END"), "ls": upto("CASE WHEN d IS NULL THEN NULL ELSE greatest(-d, 0) END")}, {"fg": "list_filter(lg, lambda x: x IS NOT NULL)", "fs": "list_filter(ls, lambda x: x IS NOT NULL)"}, {"g": wilder("fg", 14), "s": wilder("fs", 14)})),
     "expr_money_flow": ("((close - low) - (high - close)) / (high - low) * volume", sql({"value": f"({safe(f'({C} - low) - (high - {C})', 'high - low', '0.0')}) * volume"})),
@@ -327,6 +408,17 @@ EXPRESSIONS: dict[str, tuple[str, str]] = {
     "expr_ago": ("close - close.ago('24h')", sql({"value": f"{C} - {lag(C, 24)}"})),
     "expr_chained": ("low < open < high", sql({"value": "!coalesce(low < open, false) AND coalesce(open < high, false)"})),
     "expr_mod_pow": ("volume % 7 + close ** 2", sql({"value": f"volume % 7 + power({C}, 2)"})),
+    "expr_logic": ("(close > open and not (volume > 300)) or low <= 5", sql({"value": f"!coalesce(({C} > open AND NOT coalesce(volume > 300, false)) OR low <= 5, false)"})),
+    "expr_compare": ("(diff(close) >= 0) == (diff(open) < 0)", sql({"value": f"!coalesce({C} - {lag(C)} >= 0, false) = coalesce(open - {lag('open')} < 0, false)"})),
+    "expr_not_equal": ("close.ago('1h') != open", sql({"value": f"!coalesce({lag(C)} <> open, true)"})),
+    "expr_unary": ("-close + +open", sql({"value": f"-{C} + open"})),
+    "expr_truth": ("not diff(close)", sql({"value": f"!NOT coalesce({C} - {lag(C)} <> 0, false)"})),
+    "expr_sum": ("close.sum()", sql({"value": f"sum({C}) OVER (PARTITION BY symbol)"})),
+    "expr_avg": ("close.filter(rising(close)).avg()", sql({"value": "avg(CASE WHEN r THEN \"close\" END) OVER (PARTITION BY symbol)"}, {"r": f"{C} > {lag(C)}"})),
+    "expr_max_min": ("high.max() - low.min()", sql({"value": "max(high) OVER (PARTITION BY symbol) - min(low) OVER (PARTITION BY symbol)"})),
+    "expr_divide_by_zero": ("volume / (close - close)", sql({"value": "0.0"})),
+    "expr_literal": ("crossup(close, 50)", sql({"value": f"!coalesce({C} > 50 AND {lag(C)} <= 50 AND rn > 1, false)"})),
+    "expr_fold": ("sma(close, 2 * 3 + 1) * (2 ** 3)", sql({"value": f"({roll('avg', C, 7)}) * 8"})),
     "expr_multi_output": ("bbands(close, 20).upper > close", sql({"value": f"!coalesce(u > {C}, false)"}, {"u": f"({roll('avg', C, 20)}) + 2 * ({roll('stddev_pop', C, 20)})"})),
 }
 
@@ -339,7 +431,7 @@ QUERIES |= {n: partial(expression, t) for n, (t, _) in EXPRESSIONS.items()}
 QUERIES |= {f"downsample_{h}": partial(downsample, h) for h in B.AGGREGATES}
 QUERIES |= {f"sync_{h}": partial(sync, h) for h in ("ffill", "linear")}
 QUERIES |= {"align_inner": partial(align, "inner", "none"), "align_outer_ffill": partial(align, "outer", "ffill"), "align_left": partial(align, "left", "none"), "align_right": partial(align, "right", "none")}
-QUERIES |= {f.__name__: f for f in (downsample_ohlcv, resample, resample_clock, upsample, trim, collapse, trades_filter_sum, derived_fields, catalog, crossings)}
+QUERIES |= {f.__name__: f for f in (downsample_ohlcv, resample, resample_clock, upsample, trim, collapse, trades_filter_sum, derived_fields, catalog, crossings, ref, slice_time, filter_rows, dataset_info, append_rows, series_points, json_round_trip, bar_checks, loose_instants, stream_rsi, split_windows)}
 QUERIES |= {n: partial(operator, n, p) for n, p in (("fib_retracement", {}), ("fib_anchor_high", {}), ("fib_anchor_low", {}), ("fib_level_down", {"level": 0.5}), ("fib_level_up", {"level": 0.5}))}
 
 _DOWN = {"first": "arg_min({c}, rn)", "last": "arg_max({c}, rn)", "mean": "avg({c})", "sum": "sum({c})", "max": "max({c})", "min": "min({c})"}
@@ -365,6 +457,17 @@ ORACLES |= {
     "trades_filter_sum": "SELECT l_returnflag AS symbol, count(CASE WHEN l_quantity > 40 THEN l_extendedprice END) AS n, max(CASE WHEN l_quantity > 40 THEN l_extendedprice END) AS top FROM lineitem GROUP BY 1",
     "derived_fields": sql({"hlc3": "tp", "ohlc4": f"(open + high + low + {C}) / 4", "hl2": "mid", "range": "high - low", "upper_wick": f"high - greatest(open, {C})", "lower_wick": f"least(open, {C}) - low", "body_size": f"abs({C} - open)"}),
     "crossings": f"WITH {BARS}, s AS (SELECT *, {roll('avg', C, 20)} AS m FROM b), t AS (SELECT *, {lag(C)} AS c1, {lag('m')} AS m1 FROM s) SELECT symbol, epoch_us(ts) AS ts_us, round({C}, 6) AS {C}, round(m, 6) AS mean FROM t WHERE {C} > m AND c1 <= m1",
+    "ref": f"WITH {BARS}, f AS (SELECT symbol, date_trunc('day', ts) AS ts, arg_max({C}, ts) AS value FROM b GROUP BY 1, 2), z AS (SELECT symbol, arg_min(value, ts) AS v0 FROM f GROUP BY symbol) SELECT b.symbol, epoch_us(b.ts) AS ts_us, round(b.{C}, 6) AS {C}, round(coalesce(f.value, z.v0), 6) AS value FROM b ASOF LEFT JOIN f ON b.symbol = f.symbol AND b.ts >= f.ts JOIN z ON z.symbol = b.symbol",
+    "slice_time": f"WITH {BARS} SELECT symbol, epoch_us(ts) AS ts_us, round({C}, 6) AS {C} FROM b WHERE ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-06 12:00:00'",
+    "filter_rows": f"WITH {BARS} SELECT symbol, epoch_us(ts) AS ts_us, round({C}, 6) AS {C} FROM b WHERE {C} > open AND volume > 500",
+    "dataset_info": f"WITH {BARS} SELECT symbol, count(*) AS n, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM b GROUP BY symbol",
+    "append_rows": f"WITH {BARS}, l AS (SELECT symbol, max(ts) AS t FROM b WHERE day(ts) > 10 GROUP BY 1) SELECT b.symbol, count(*) AS n, CAST(count(CASE WHEN day(b.ts) <= 10 AND b.ts < l.t THEN 1 END) AS BIGINT) AS too_early FROM b LEFT JOIN l ON l.symbol = b.symbol GROUP BY b.symbol",
+    "series_points": f"WITH {BARS}, s AS (SELECT *, {roll('max', C, 30)} AS v FROM b) SELECT symbol, epoch_us(ts) AS ts_us, v AS value, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS time FROM s WHERE v IS NOT NULL",
+    "json_round_trip": sql({c: '"close"' if c == "close" else c for c in ("open", "high", "low", "close", "volume")}).replace("AS close", 'AS "close"'),
+    "bar_checks": "WITH x AS (SELECT symbol, CASE WHEN isnan(open) THEN NULL ELSE open END AS o, high AS h, low AS l, \"close\" AS c, volume AS v FROM bars), y AS (SELECT symbol, h >= l AND h >= greatest(o, c) AND l <= least(o, c) AND v >= 0 AS ok FROM x) SELECT symbol, count(CASE WHEN ok THEN 1 END) AS valid, count(CASE WHEN NOT ok THEN 1 END) AS invalid FROM y GROUP BY symbol",
+    "loose_instants": "SELECT liquidation_id, CAST(floor(epoch_us(timestamp) / 1000000) AS BIGINT) AS second FROM liquidations WHERE timestamp IS NOT NULL",
+    "stream_rsi": sql({"rsi": "CASE WHEN g IS NULL THEN NULL WHEN s = 0 THEN CASE WHEN g > 0 THEN 100.0 ELSE 50.0 END ELSE 100 - 100 / (1 + g / s) END", "ema": smooth("l", 2 / 21)}, {"d": f"{C} - {lag(C)}", "l": upto(C)}, {"lg": upto("CASE WHEN d IS NULL THEN NULL ELSE greatest(d, 0) END"), "ls": upto("CASE WHEN d IS NULL THEN NULL ELSE greatest(-d, 0) END")}, {"fg": "list_filter(lg, lambda x: x IS NOT NULL)", "fs": "list_filter(ls, lambda x: x IS NOT NULL)"}, {"g": wilder("fg", 14), "s": wilder("fs", 14)}),
+    "split_windows": sql({"value": f"({roll('avg', C, 20)}) + ({wma_sql('x', 3)}) - {lag(C, 3)}"}, {"a": wma_sql(C, 4), "z": wma_sql(C, 9)}, {"x": "2 * a - z"}),
     "sync_ffill": f"WITH {_FOUR}, z AS (SELECT symbol, arg_min(value, ts) AS v0 FROM f GROUP BY symbol) SELECT b.symbol, epoch_us(b.ts) AS ts_us, round(coalesce(f.value, z.v0), 6) AS value FROM b ASOF LEFT JOIN f ON b.symbol = f.symbol AND b.ts >= f.ts JOIN z ON z.symbol = b.symbol",
     "sync_linear": f"WITH {_FOUR}, p AS (SELECT b.symbol, b.ts, f.ts AS t0, f.value AS v0 FROM b ASOF LEFT JOIN f ON b.symbol = f.symbol AND b.ts >= f.ts), q AS (SELECT p.*, f.ts AS t1, f.value AS v1 FROM p ASOF LEFT JOIN f ON p.symbol = f.symbol AND p.ts <= f.ts) SELECT symbol, epoch_us(ts) AS ts_us, round(CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL OR t0 = t1 THEN v0 ELSE v0 + (v1 - v0) * ((epoch_us(ts) - epoch_us(t0)) / (epoch_us(t1) - epoch_us(t0))) END, 6) AS value FROM q",
     "align_inner": f"WITH {_LR} " + _JOIN.format(""),
