@@ -63,6 +63,14 @@ def test_cases(case):
     assert split("\n \n".join([text, text]), m) == want * 2
 
 
+def test_texts_in_one_case():
+    want = ["[16] after brief talks the baker weighed a valve.", "nobody in the town copied it earlier.", "since then 3.5 of it is lost."]
+    assert split(" ".join(want)) == want
+    assert split(" ".join(want).upper()) == [w.upper() for w in want]
+    assert split("the baker weighed a valve.nobody copied it earlier.") == ["the baker weighed a valve.", "nobody copied it earlier."]
+    assert split("THE BAKER WEIGHED A VALVE.NOBODY COPIED IT.") == ["THE BAKER WEIGHED A VALVE.", "NOBODY COPIED IT."]
+
+
 def test_blocks():
     text = "Court of Quenby\n\n27-0001/17\r\n \r\nHaverquist v. Orvelle Mills\n　\nThe lease ended.  Nobody paid.\n\n\n  \nMr. Judge"
     assert split(text) == ["Court of Quenby", "27-0001/17", "Haverquist v. Orvelle Mills", "The lease ended.", "Nobody paid.", "Mr. Judge"]
