@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,22 +126,26 @@ class Build:
         rows = self.df.repartition(*keys).sortWithinPartitions(*keys, *order_by)
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            key: tuple | None = None
-            states: list = []
+            key: list | None = None
+            states: list = [None] * len(jobs)
             for pdf in parts:
-                groups = list(zip(*[pdf[k].astype(object).where(pdf[k].notna(), None) for k in keys]))
-                fresh = [i for i in range(len(groups)) if groups[i] != (groups[i - 1] if i else key)]
-                key = groups[-1] if groups else key
+                if not len(pdf):
+                    continue
+                columns = [pdf[k].to_numpy(object) for k in keys]
+                begins = np.zeros(len(pdf), bool)
+                begins[0] = key != [c[0] for c in columns]
+                for c in columns:
+                    begins[1:] |= c[1:] != c[:-1]
+                key = [c[-1] for c in columns]
+                fresh = np.flatnonzero(begins).tolist()
+                lists: dict[str, list] = {}
                 for n, (kernel, inputs, names) in enumerate(jobs):
-                    cols = [pdf[c].astype(object).where(pdf[c].notna(), None).tolist() for c in inputs]
-                    state = states[n] if n < len(states) else None
-                    state, results = kernel.run(state, cols, len(pdf), fresh)
-                    if n < len(states):
-                        states[n] = state
-                    else:
-                        states.append(state)
-                    for name, values, kind in zip(names, results, kernel.types):
-                        pdf[name] = pd.Series(values, dtype="float64" if kind == "double" else object, index=pdf.index)
+                    for c in inputs:
+                        if c not in lists:
+                            lists[c] = [None if x is None or x != x else x for x in pdf[c].tolist()]
+                    states[n], results = kernel.run(states[n], [lists[c] for c in inputs], len(pdf), fresh)
+                    for name, values in zip(names, results):
+                        pdf[name] = pd.Series(values, dtype="float64", index=pdf.index)
                 yield pdf
 
         self.df = rows.mapInPandas(run, ", ".join(fields + outs))
