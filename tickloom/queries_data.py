@@ -11,6 +11,7 @@ from tickloom.operators.nearest import nearest_join
 from tickloom.operators.spikes import Level, Wick, flag_implausible, flagged
 from tickloom.operators.timestamps import is_plain, normalize_timestamps
 from tickloom.operators.trailing import trailing_totals
+from tickloom.queries_data_sql import ORACLES as ORACLES
 from tickloom.util import SECOND, table, timeframe_us
 
 SOURCE = ["symbol", "exchange", "shard", "timeframe"]
@@ -73,10 +74,3 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p5_grid, p6_found)}
-ORACLES: dict[str, str] = {
-    # JSON numbers compare as doubles, fields by name, nulls as missing
-    "p2_found": """WITH run AS (SELECT session_id, max(taken_at) AS run_at, arg_max(last_event_index, row(taken_at, snapshot_id)) AS top FROM runtime_snapshots WHERE status = 'committed' GROUP BY 1),
-t AS (SELECT session_id, event_index, ingested_at, delivery_id, list_sort(list_filter(list_transform(json_keys(fields), lambda k: k || '=' || CAST(CAST(json_extract_string(fields, '$."' || k || '"') AS DOUBLE) AS VARCHAR)), lambda x: x IS NOT NULL))::VARCHAR AS v FROM tick_updates),
-e AS (SELECT t.session_id, event_index, any_value(run.run_at) AS run_at, any_value(run.top) AS top, arg_max(v, row(ingested_at, delivery_id)) AS latest, arg_max(v, row(ingested_at, delivery_id)) FILTER (WHERE ingested_at <= run.run_at) AS before FROM t LEFT JOIN run ON t.session_id = run.session_id GROUP BY 1, 2)
-SELECT session_id, event_index FROM e WHERE run_at IS NULL OR event_index > top OR before IS NULL OR before <> latest""",
-}
