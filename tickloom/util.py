@@ -47,19 +47,16 @@ def timeframe_us(tf: Column) -> Column:
 def lead_across(df: DataFrame, keys: list[str], chunk: str, order: list[str], value: str, out: str) -> DataFrame:
     """``lead(value)`` per ``keys`` by ``order``, without bringing one key into one task.
 
-    ``chunk`` cuts a key's rows into pieces that follow each other in ``order``.
-    Within a piece the window gives the answer; only the first and the last row
-    of every piece go through a second window by key. Both read the same
-    exchange, so the rows are shuffled once.
+    ``chunk`` (never null) cuts a key's rows into pieces that follow each other in
+    ``order``. Within a piece a first window gives the answer. A second one joins the
+    edges: the first and the last row of every piece meet by key, all
+    others stay with their piece. The rows are read once.
     """
     w = Window.partitionBy(*keys, chunk).orderBy(*order)
+    # a null lead marks the last row of a piece
     inner = df.withColumns({out: F.lead(value).over(w), "__first": F.row_number().over(w) == 1})
-    # a null lead also marks the last row of a piece
-    edge_w = Window.partitionBy(*keys).orderBy(F.col(chunk), *order)
-    edges = (
-        inner.where(F.col("__first") | F.col(out).isNull())
-        .withColumn("__last", F.col(out).isNull())
-        .withColumn(out, F.coalesce(out, F.lead(value).over(edge_w)))
-        .where("__last")
-    )
-    return inner.where(F.col(out).isNotNull()).drop("__first").unionByName(edges.drop("__first", "__last"))
+    inner = inner.withColumn("__edge", F.col("__first") | F.col(out).isNull())
+    inner = inner.withColumn("__meet", F.when(~F.col("__edge"), F.col(chunk)))
+    across = F.lead(value).over(Window.partitionBy(*keys, "__meet").orderBy(*order))
+    joined = inner.withColumn("__across", across).withColumn(out, F.coalesce(out, F.when(F.col("__edge"), F.col("__across"))))
+    return joined.drop("__first", "__edge", "__meet", "__across")
