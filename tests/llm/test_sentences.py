@@ -68,6 +68,7 @@ def test_texts_in_one_case():
     assert split(" ".join(want)) == want
     assert split(" ".join(want).upper()) == [w.upper() for w in want]
     assert split("the baker weighed a valve.nobody copied it earlier.") == ["the baker weighed a valve.", "nobody copied it earlier."]
+    assert split("EACH NOTICED ITS JAR. AFTER IT CAME ANOTHER.") == ["EACH NOTICED ITS JAR.", "AFTER IT CAME ANOTHER."]
     assert split("THE BAKER WEIGHED A VALVE.NOBODY COPIED IT.") == ["THE BAKER WEIGHED A VALVE.", "NOBODY COPIED IT."]
 
 
