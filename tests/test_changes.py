@@ -94,3 +94,48 @@ def test_log_survives_failures(spark, tmp_path):
     assert log.run(rows(9), lambda df: df) == 4  # nothing new
     got = sorted(tuple(r) for r in log.read().select("session_id", "event_index", "v").collect())
     assert got == [(s, e, s * 100 + e) for s in (1, 2) for e in range(9)]
+
+
+def test_log_gives_late_and_changed_ticks_again(spark, tmp_path):
+    log = ChangeLog(spark, f"file://{tmp_path}/log", "session_id", "event_index", order=("ingested_at", "delivery_id"))
+    rows = [
+        (1, 1, 1, "a", at(1)),
+        (2, 1, 5, "b", at(2)),
+        (3, 1, 2, "late", at(3)),
+        (4, 1, 5, "changed", at(4)),
+        (6, 1, 1, "last", at(5)),  # several deliveries of one event in one batch
+        (5, 1, 1, "not last", at(5)),
+        (7, 2, 1, "new", at(5)),
+        (8, 1, 7, "no instant", None),
+        (9, 1, 1, "no instant", None),
+        (10, None, 1, "", at(5)),
+        (11, 1, None, "", at(5)),
+    ]
+    source = lambda n: spark.createDataFrame(rows[:n], D)
+
+    def broken(df):
+        raise RuntimeError("lost")
+
+    assert log.run(source(2), lambda df: df) == 1
+    with pytest.raises(RuntimeError):
+        log.run(source(4), broken)
+    assert sorted(r.delivery_id for r in log.rows(source(7), log.plan(source(7))).collect()) == [3, 4]
+    assert log.run(source(7), lambda df: df) == 2
+    assert log.run(source(11), lambda df: df.repartition(3)) == 3
+    assert sorted((r.session_id, r.event_index, r.fields) for r in log.read().collect()) == [(1, 1, "last"), (1, 2, "late"), (1, 5, "changed"), (1, 7, "no instant"), (2, 1, "new")]
+    with pytest.raises(ValueError):
+        log.run(source(11), lambda df: df.drop("ingested_at"))
+
+
+def test_log_holds_the_latest_of_every_tick(spark, data, tmp_path):
+    ticks = spark.read.parquet(f"{data}/tick_updates.parquet")
+    log = ChangeLog(spark, f"file://{tmp_path}/log", "session_id", "event_index", order=("ingested_at", "delivery_id"))
+    for share in (0.3, 0.6, 1.0):
+        upto = ticks.selectExpr(f"percentile_approx(ingested_at, {share})").first()[0]
+        log.run(ticks.where(ticks.ingested_at <= upto), lambda df: df)
+    want = {}
+    for r in ticks.collect():
+        if None not in (r.session_id, r.event_index):
+            k = r.session_id, r.event_index
+            want[k] = max(want.get(k, ()), (r.ingested_at, r.delivery_id))
+    assert {(r.session_id, r.event_index): (r.ingested_at, r.delivery_id) for r in log.read().collect()} == want

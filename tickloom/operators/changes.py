@@ -2,9 +2,9 @@
 
 ``changed_since`` is the capture: given the deliveries of a log partitioned by
 ``key`` and the log of runs, it gives exactly the offsets to be processed next.
-``ChangeLog`` runs it for good: a batch plan (the per-key offset ranges) is
+``ChangeLog`` runs for good: a batch plan (per-key ranges of places in the log) is
 written ahead, replayed if the run failed, and the sink is deduplicated by key
-and offset.
+and offset. An event delivered late or changed has a new place in the log, so it comes out again.
 
 Defined results: a delivery with a null key or null offset is no event and is
 left out; deliveries repeated as they are count once; of deliveries ingested at
@@ -17,7 +17,7 @@ empty tables give empty results; extra columns are ignored.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,11 +77,18 @@ class ChangeLog:
     ``sink/n`` (its rows, written over by a replay) and ``done/n`` (present once
     the batch is whole). A plan without ``done`` is run again with the same
     ranges, so a failure neither skips nor repeats records; ``read`` gives one
-    row per (key, offset), the latest batch counting.
+    row per (key, offset), the latest delivery counting.
+
+    ``order`` names the columns that place a delivery in its key's log, such as
+    ``("ingested_at", "delivery_id")``: ranges are planned over them, and they tell
+    which of several deliveries of an event is the latest. The log only grows at its end.
+    A delivery with a null among them has no place; it comes out in every batch, and
+    any delivery with a place is later. Without ``order`` the offset is the place, which
+    is right only if an offset comes once and none comes late.
     """
 
-    def __init__(self, spark: SparkSession, root: str, key: str, offset: str):
-        self.spark, self.root, self.key, self.offset = spark, root.rstrip("/"), key, offset
+    def __init__(self, spark: SparkSession, root: str, key: str, offset: str, order: Sequence[str] = ()):
+        self.spark, self.root, self.key, self.offset, self.order = spark, root.rstrip("/"), key, offset, list(order)
         self._jvm = spark._jvm
         self._fs = self._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -104,6 +111,15 @@ class ChangeLog:
         if not self._fs.rename(tmp, self._path(kind, n)):
             raise OSError(f"cannot place {kind}/{n}")
 
+    def _place(self) -> Column:
+        """Place of a delivery in its key's log; null if it has none."""
+        if not self.order:
+            return F.col(self.offset)
+        known = F.lit(True)
+        for c in self.order:
+            known = known & F.col(c).isNotNull()
+        return F.when(known, F.struct(*self.order))
+
     def positions(self) -> DataFrame | None:
         """(key, end) after the last whole batch."""
         done = self._numbers("done")
@@ -114,10 +130,10 @@ class ChangeLog:
         plans, done = self._numbers("plan"), self._numbers("done")
         if plans and (not done or plans[-1] > done[-1]):
             return plans[-1]
-        ends = source.where(F.col(self.key).isNotNull() & F.col(self.offset).isNotNull()).groupBy(F.col(self.key).alias("key")).agg(F.max(self.offset).alias("top"))
+        ends = source.where(F.col(self.key).isNotNull() & F.col(self.offset).isNotNull()).groupBy(F.col(self.key).alias("key")).agg(F.max(self._place()).alias("top"))
         before = self.positions()
         if before is None:
-            ranges = ends.select("key", F.lit(None).cast("long").alias("start"), F.col("top").alias("end"))
+            ranges = ends.select("key", F.lit(None).cast(ends.schema["top"].dataType).alias("start"), F.col("top").alias("end"))
         else:
             ranges = ends.join(before.withColumnRenamed("end", "start"), "key", "full_outer").select("key", "start", F.greatest("start", "top").alias("end"))
         n = (plans[-1] if plans else 0) + 1
@@ -127,14 +143,18 @@ class ChangeLog:
     def rows(self, source: DataFrame, n: int) -> DataFrame:
         """The rows of ``source`` in the ranges of plan ``n``."""
         p = self.spark.read.parquet(self._path("plan", n).toString()).withColumnsRenamed({"key": "__key", "start": "__start", "end": "__end"})
-        o = F.col(self.offset)
-        fresh = (F.col("__start").isNull() | (o > F.col("__start"))) & (o <= F.col("__end"))
-        return source.join(p, (F.col(self.key) == F.col("__key")) & fresh).select(*[source[c] for c in source.columns])
+        at = F.col("__place")
+        fresh = at.isNull() | ((F.col("__start").isNull() | (at > F.col("__start"))) & (at <= F.col("__end")))
+        placed = source.where(F.col(self.offset).isNotNull()).withColumn("__place", self._place())
+        return placed.join(p, (F.col(self.key) == F.col("__key")) & fresh).select(*source.columns)
 
     def run(self, source: DataFrame, process: Callable[[DataFrame], DataFrame]) -> int:
         """Plan or replay one batch, process it and put it into the sink; its number."""
         n = self.plan(source)
-        self._write(process(self.rows(source, n)).withColumn("__batch", F.lit(n)), "sink", n)
+        rows = process(self.rows(source, n))
+        if lost := {self.key, self.offset, *self.order} - set(rows.columns):
+            raise ValueError(f"the sink needs {sorted(lost)}")
+        self._write(rows.withColumn("__batch", F.lit(n)), "sink", n)
         self._fs.mkdirs(self._path("done"))
         self._fs.create(self._path("done", n), True).close()
         return n
@@ -143,5 +163,5 @@ class ChangeLog:
         """The sink, one row per (key, offset)."""
         df = self.spark.read.parquet(*[self._path("sink", n).toString() for n in self._numbers("done")])
         rest = [c for c in df.columns if c not in (self.key, self.offset)]
-        g = df.groupBy(self.key, self.offset).agg(F.max_by(F.struct(*rest), "__batch").alias("__r"))
+        g = df.groupBy(self.key, self.offset).agg(F.max_by(F.struct(*rest), F.struct(self._place(), "__batch") if self.order else F.col("__batch")).alias("__r"))
         return g.select(self.key, self.offset, *[F.col(f"__r.{c}") for c in rest if c != "__batch"])
