@@ -82,6 +82,23 @@ def test_rows_without_instant_and_small_sources(spark):
     assert bad(flags(spark, rows)) == {7, 101}
 
 
+@pytest.mark.parametrize("shape", ["even", "stray", "burst"])
+def test_pieces_are_cut_by_rows(spark, monkeypatch, shape):
+    """However the instants lie, a piece holds PIECE rows and the margins, and each row is at home once."""
+    monkeypatch.setattr(P, "PIECE", 64)
+    monkeypatch.setattr(P, "MARGIN", 16)
+    day = 86_400_000_000
+    at = {"even": lambda i: i * day // 7, "stray": lambda i: -7300 * day if i == 0 else i * 1_000_000, "burst": lambda i: 5}[shape]
+    df = spark.createDataFrame([(s, at(i), i) for s in (1, 2) for i in range(1000 if s == 1 else 3)], "__s long, __t long, __id long")
+    out = P.cut_in_pieces(df).collect()
+    groups = {}
+    for r in out:
+        groups.setdefault((r["__s"], r["__piece"]), []).append((r["__id"], r["__home"] == r["__piece"]))
+    assert sorted(i for g in groups.values() for i, own in g if own) == sorted([*range(1000), *range(3)])
+    for (s, p), g in groups.items():
+        assert sorted(i for i, _ in g) == list(range(max(0, p * 64 - 16), min((p + 1) * 64 + 16, 1000 if s == 1 else 3)))
+
+
 def test_empty(spark):
     assert flags(spark, []) == {}
 

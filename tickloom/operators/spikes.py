@@ -13,13 +13,13 @@ Forward-backward probabilities give each reading its most probable state. A spik
 equal run is flagged if it has at least ``RUN`` readings and is stuck more likely than not; a hard
 bound is flagged always.
 
-A source is cut into pieces of about ``PIECE`` rows by time, overlapping by a
-margin, so that no task holds a whole source; the width of the pieces follows from the
-counted rows and the span of the source. The model runs over fixed blocks of many pieces at once.
+A source is cut into pieces of ``PIECE`` rows in time order, each with ``MARGIN`` rows of its
+neighbours, so that no task of the model holds a whole source however its rows lie in time: rows are
+numbered within a day, and the counts of the days before are added. The model runs over fixed blocks of many pieces at once.
 
 Defined results: a null or NaN reading is no reading and never flagged; repeated rows each count;
 rows without an instant (null or -1) are placed by ``fallback_us``, and only hard bounds are
-checked if that is null too; ties in time are ordered by record id; zeros of
+checked if that is null too (such rows are no neighbours of others); ties in time are ordered by record id; zeros of
 a ``level`` are no spikes; empty frames give empty results; extra columns are ignored.
 """
 
@@ -30,12 +30,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.util import bounded_broadcast
+from tickloom.util import DAY
 
-PIECE, MARGIN = 2048, 1 / 8
+PIECE, MARGIN = 2048, 256  # rows; the margin is at least WIDE
 RUN = 6
 NEAR, WIDE = 25, 51  # readings of the local level and of the local scale
 BLOCK, CORE = 128, 96  # readings of one model block, and of it those that are kept
@@ -239,30 +239,46 @@ def _batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True)
 
 
-def flag_implausible(df: DataFrame, keys: list[str], at_us: str, record_id: str, measures: list[Level | Wick], fallback_us: str, max_sources: int = 200_000) -> DataFrame:
+def cut_in_pieces(rows: DataFrame) -> DataFrame:
+    """Each row of ``(__s, __t, __id, ...)`` in its ``__home`` piece and in those whose margin it is in (``__piece``).
+
+    A row's number in its source is its number within the day plus the rows of the days before, so
+    a source is not brought into one task.
+    """
+    rows = rows.withColumn("__day", F.floor(F.col("__t") / DAY))
+    days = Window.partitionBy("__s")
+    before = F.coalesce(F.sum("__n").over(days.orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    counts = rows.groupBy("__s", "__day").agg(F.count(F.lit(1)).alias("__n")).select("__s", "__day", before.alias("__before"), F.sum("__n").over(days).alias("__all"))
+    within = F.row_number().over(Window.partitionBy("__s", "__day").orderBy("__t", "__id"))
+    rows = rows.withColumn("__rn", within - 1).join(counts, ["__s", "__day"]).withColumn("__rn", F.col("__rn") + F.col("__before"))
+    margin = min(MARGIN, PIECE)
+    piece = lambda n: F.floor(n / PIECE)
+    rows = rows.withColumn("__home", piece(F.col("__rn")))
+    first, last = piece(F.greatest(F.col("__rn") - margin, F.lit(0))), piece(F.least(F.col("__rn") + margin, F.col("__all") - 1))
+    return rows.withColumn("__piece", F.explode(F.array_distinct(F.array("__home", first, last)))).drop("__day", "__rn", "__before", "__all")
+
+
+def flag_implausible(df: DataFrame, keys: list[str], at_us: str, record_id: str, measures: list[Level | Wick], fallback_us: str) -> DataFrame:
     """(record_id, state per measured field) with the states ``normal spike stuck out_of_range`` for every row.
 
-    ``fallback_us`` (never -1) also gives the spans from which the pieces are cut.
+    ``fallback_us`` is never -1.
     """
     needed = list(dict.fromkeys(c for m in measures for c in ((m.field,) if isinstance(m, Level) else (m.open, m.high, m.low, m.close))))
-    gid = F.xxhash64(*keys)
-    # only the fallback instant is used here, so that the real one is not computed twice
-    spans = df.groupBy(gid.alias("__g")).agg(F.min(fallback_us).alias("__from"), F.max(fallback_us).alias("__to"), F.count(F.lit(1)).alias("__n"))
-    spans = spans.select("__g", "__from", F.greatest(((F.col("__to") - F.col("__from")) / F.greatest(F.col("__n") / PIECE, F.lit(1.0))).cast("long"), F.lit(1).cast("long")).alias("__width"))
-    t = F.coalesce(F.when(F.col(at_us) != -1, F.col(at_us)), F.col(fallback_us), F.lit(0).cast("long"))
-    rows = df.select(gid.alias("__s"), t.alias("__t"), F.col(record_id).alias("__id"), *[F.col(c).cast("double").alias(c) for c in needed])
-    rows = rows.join(bounded_broadcast(spans, max_sources), F.col("__s") == F.col("__g"))
-    place = (F.col("__t") - F.coalesce(F.col("__from"), F.lit(0).cast("long"))) / F.coalesce(F.col("__width"), F.lit(1).cast("long"))
-    piece = lambda x: F.floor(F.greatest(x, F.lit(-1.0)))
-    rows = rows.withColumn("__home", piece(place)).withColumn("__piece", F.explode(F.array_distinct(F.array(F.col("__home"), piece(place - MARGIN), piece(place + MARGIN)))))
-    rows = rows.select(F.xxhash64("__s", "__piece").alias("__gid"), "__t", "__id", (F.col("__home") == F.col("__piece")).alias("__own"), *needed)
+    t = F.coalesce(F.when(F.col(at_us) != -1, F.col(at_us)), F.col(fallback_us))
+    rows = df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], t.alias("__t"), F.col(record_id).alias("__id"), *[F.col(c).cast("double").alias(c) for c in needed])
+    timed = F.col("__t").isNotNull()
+    rows = rows.select(F.xxhash64(*[f"__k{i}" for i in range(len(keys))], timed).alias("__s"), timed.alias("__timed"), F.coalesce("__t", F.lit(0).cast("long")).alias("__t"), "__id", *needed)
+    rows = cut_in_pieces(rows)
+    rows = rows.select(F.xxhash64("__s", "__piece").alias("__gid"), "__t", "__id", (F.col("__home") == F.col("__piece")).alias("__own"), "__timed", *needed)
     rows = rows.repartition("__gid").sortWithinPartitions("__gid", "__t", "__id").drop("__t")
     names = np.array(["normal", "spike", "stuck", "out_of_range"], dtype=object)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _batches(parts):
             own = pdf["__own"].to_numpy(bool)
-            states = {m.field: names[(_level if isinstance(m, Level) else _wick)(pdf, m)[own]] for m in measures}
+            timed = pdf["__timed"].to_numpy(bool)[own]
+            states = {m.field: (_level if isinstance(m, Level) else _wick)(pdf, m)[own] for m in measures}
+            states = {k: names[np.where(timed | (v == RANGE), v, NORMAL)] for k, v in states.items()}
             yield pd.DataFrame({record_id: pdf["__id"].to_numpy()[own], **states})
 
     id_type = df.schema[record_id].dataType.simpleString()
