@@ -99,6 +99,16 @@ def test_pieces_are_cut_by_rows(spark, monkeypatch, shape):
         assert sorted(i for i, _ in g) == list(range(max(0, p * 64 - 16), min((p + 1) * 64 + 16, 1000 if s == 1 else 3)))
 
 
+def test_first_reading_is_judged_with_its_neighbours(spark):
+    """An instant long before the first arrival does not leave its reading alone."""
+    rows = bars(60)
+    for x in rows[1:]:
+        x[2], x[3] = x[2] + 20_000, x[3] + 20_000
+    rows[0][2] = -1_000_000
+    rows[0][8] *= 90
+    assert bad(flags(spark, rows)) == {0}
+
+
 def test_empty(spark):
     assert flags(spark, []) == {}
 
