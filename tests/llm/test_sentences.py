@@ -78,6 +78,16 @@ def test_blocks():
     assert split("ทัสเมอร์ กับ ออเวล\n\nผู้พิพากษา ทัสเมอร์\n\n07-0003/19") == ["ทัสเมอร์ กับ ออเวล", "ผู้พิพากษา ทัสเมอร์", "07-0003/19"]
 
 
+def test_thai_courts_and_judges():
+    told = ["ศาลเห็นว่าสัญญาชำรุดมาก่อน", "ศาลเห็นว่าโกดังชำรุดมาก่อน"]
+    assert split("ศาลแพ่ง มิรา\n\n" + " ".join(told)) == ["ศาลแพ่ง มิรา", *told]
+    assert split(" ".join(told)) == told
+    assert split("07-0003/19\n\nศาลพิพากษายกฟ้อง คู่ความไม่โต้แย้ง") == ["07-0003/19", "ศาลพิพากษายกฟ้อง", "คู่ความไม่โต้แย้ง"]
+    assert split("คู่ความไม่โต้แย้ง\n\nผู้พิพากษาเห็นว่าคลองชำรุด คู่ความไม่โต้แย้ง") == ["คู่ความไม่โต้แย้ง", "ผู้พิพากษาเห็นว่าคลองชำรุด", "คู่ความไม่โต้แย้ง"]
+    for block in ("ผู้พิพากษา ทัสเมอร์ ออเวล", "ผู้พิพากษา [ปกปิด]", "ศาลเวลานี แผนกคดีแพ่ง"):
+        assert split(block) == [block]
+
+
 def test_abbreviations_are_learned():
     texts = [f"[{i}] Counsel for Zwx. {n} conceded it. The owner of Zwx. {n} paid the harvest. The court agreed with the owner.\n\nThe harvest ended.\n\nThe tribunal met the owner." for i, n in enumerate(["Quill", "Maldrin", "Orvelle", "Tasmer"] * 15)]
     assert split("Counsel for Zwx. Maldrin conceded it. The court agreed with the owner.", model(texts)) == ["Counsel for Zwx. Maldrin conceded it.", "The court agreed with the owner."]

@@ -1,7 +1,7 @@
-"""Sentence units of texts in any language or script.
+"""Sentence units of texts in scripts with sentence marks, and of Thai.
 
 A hidden-event n-gram model inserts a boundary token between words. At every place where
-a unit could end (after closing marks and what closes with them, or at a space in a script without marks) the
+a unit could end (after closing marks and what closes with them) the
 model compares the two ways to go on:
 
 * with a boundary: the word before ends a sentence, the word after begins one;
@@ -14,6 +14,9 @@ kept in two hashed tables of ``BUCKETS`` entries, whose size does not grow with
 are rare lean on their shape. Forward-backward probabilities over the places of a
 paragraph decide, with neighbouring boundaries unlikely.
 
+In Thai, which has no marks, the model decides nothing: by definition of a unit there, each space without a
+digit beside it ends one in prose.
+
 Structure first: blank lines end units; single line breaks do not; within quotations
 and brackets that close in the same paragraph nothing ends.
 
@@ -57,6 +60,8 @@ OPENING = "\"“„«‹‘([「『（【《¿¡—–- "
 DIGITS = re.compile(r"\d+")
 TAIL = ".,;:!?…\"”“’»)]」』）】"
 THAI = re.compile(r"[฀-๿]")
+#: What a court or a judge does, in a sentence and not in a name.
+THAI_SAYS = re.compile(r"(?:ศาล|ผู้พิพากษา)(?:(?:นี้|ชั้นต้น|อุทธรณ์|ฎีกา)?(?:เห็น|วินิจฉัย|ตัดสิน|พิเคราะห์|สั่ง|มีคำ|ยก|รับฟัง|กล่าว|ถาม|ให้|ได้|ไม่|จะ|จึง|พิพากษา)|[฀-๿]{2,}ว่า)")
 THAI_GAP = re.compile(r"(?<=[^\s\d]) +(?=[^\s\d])")
 
 
@@ -276,7 +281,8 @@ def units(text: str, model: Model) -> list[tuple[int, int]]:
     for a, z in blocks(plain):
         s = plain[a:z].replace("\n", " ")
         at, n = 0, len(s)
-        for e in (*_ends(s, model, greek, thai), n):
+        first = thai and not plain[:a].strip()
+        for e in (*_ends(s, model, greek, thai, first), n):
             while at < e and s[at] == " ":
                 at += 1
             j = e
@@ -288,7 +294,7 @@ def units(text: str, model: Model) -> list[tuple[int, int]]:
     return out
 
 
-def _ends(s: str, model: Model, terminal: re.Pattern, thai: bool) -> list[int]:
+def _ends(s: str, model: Model, terminal: re.Pattern, thai: bool, first: bool = False) -> list[int]:
     body = _number_end(s)
     small = s.islower()
     found = places(s, body, UNCASED_TERMINAL if small else terminal, model.never)
@@ -299,17 +305,24 @@ def _ends(s: str, model: Model, terminal: re.Pattern, thai: bool) -> list[int]:
         odds = [model.odds(*p[2:]) for p in found]
         near = [False] + [found[i][0] - found[i - 1][1] <= 2 for i in range(1, len(found))]
         ends = [p[1] for p, yes in zip(found, model.decide(odds, near)) if yes]
-    if thai and THAI.search(s) and _thai_prose(s, body):
+    if thai and THAI.search(s) and _thai_prose(s, body, first):
         ends = sorted({*ends, *(m.start() for m in THAI_GAP.finditer(s, body) if THAI.match(s, m.start() - 1) or THAI.match(s, m.end()))})
     return ends
 
 
-def _thai_prose(s: str, body: int) -> bool:
-    """Parties (``A กับ B``) and signatures are no prose."""
+def _thai_prose(s: str, body: int, first: bool) -> bool:
+    """Parties (``A กับ B``), signatures, and the name of a court above the text are no prose.
+
+    A block that says something of a court or judge (``ศาลเห็นว่า``, the court holds that) is.
+    """
     words = s[body:].split()
     if body:
         return True
-    return not ((len(words) >= 3 and "กับ" in words[1:-1] and len(words) <= 6) or s.lstrip().startswith(("ผู้พิพากษา", "ศาล")) and len(words) <= 3)
+    if len(words) >= 3 and "กับ" in words[1:-1] and len(words) <= 6:
+        return False
+    if len(words) > 3 or THAI_SAYS.search(s):
+        return True
+    return not (words[0].startswith("ผู้พิพากษา") or (first and words[0].startswith("ศาล")))
 
 
 _ENDS = frozenset(".\"”“’'»)]」』）")
