@@ -88,6 +88,14 @@ def test_thai_courts_and_judges():
         assert split(block) == [block]
 
 
+def test_long_quotations_and_brackets():
+    inner = "The crane was wet. It stayed wet. " * 60
+    for o, c in ("“”", '""', "()", "«»"):
+        want = [f"The owner said {o}{inner}so it was{c} and left.", "Nobody followed."]
+        assert split(" ".join(want)) == want
+    assert S.spans_of("(" * 50_000 + "x." + "“" * 50_000, 0) == []
+
+
 def test_abbreviations_are_learned():
     texts = [f"[{i}] Counsel for Zwx. {n} conceded it. The owner of Zwx. {n} paid the harvest. The court agreed with the owner.\n\nThe harvest ended.\n\nThe tribunal met the owner." for i, n in enumerate(["Quill", "Maldrin", "Orvelle", "Tasmer"] * 15)]
     assert split("Counsel for Zwx. Maldrin conceded it. The court agreed with the owner.", model(texts)) == ["Counsel for Zwx. Maldrin conceded it.", "The court agreed with the owner."]

@@ -55,7 +55,6 @@ GREEK = re.compile("[α-ω]")
 CLOSING = re.compile("[”’'»›)\\]」』）】》〉]*(?:[ ]»)?[)\\]」』）】]*")
 PAIRS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", '"': '"', "（": "）", "(": ")", "[": "]"}
 OPENER = re.compile("[“„«「『\"（(\\[]")
-LONGEST_SPAN = 600
 OPENING = "\"“„«‹‘([「『（【《¿¡—–- "
 DIGITS = re.compile(r"\d+")
 TAIL = ".,;:!?…\"”“’»)]」』）】"
@@ -87,12 +86,18 @@ def spaced(text: str) -> str:
 
 
 def spans_of(s: str, body: int) -> list[tuple[int, int]]:
-    """Outermost quotations and brackets that close."""
+    """Outermost quotations and brackets that close within the block."""
     out, at = [], body
+    ahead: dict[str, int] = {}  # next place of each closing mark; -1 if none is left
     while m := OPENER.search(s, at):
         a = m.start()
-        closers = PAIRS[m.group()]
-        z = min((e for c in closers if (e := s.find(c, a + 1, a + LONGEST_SPAN)) >= 0), default=-1)
+        z = -1
+        for c in PAIRS[m.group()]:
+            e = ahead.get(c, 0)
+            if 0 <= e <= a:  # passed: each mark is sought once over the whole block
+                e = ahead[c] = s.find(c, a + 1)
+            if e >= 0 and (z < 0 or e < z):
+                z = e
         if z < 0:
             at = a + 1
         else:
