@@ -11,8 +11,13 @@ How often a word ends or begins sentences is learned from the corpus itself: end
 are certain boundaries. A type that stands within paragraphs far more often than its
 share at their ends must mostly be no boundary there. The counts cover all documents; they are
 kept in two hashed tables of ``BUCKETS`` entries, whose size does not grow with the corpus. Types that
-are rare lean on their shape. Forward-backward probabilities over the places of a
-paragraph decide, with neighbouring boundaries unlikely.
+are rare lean on their shape.
+
+This is a reduced form of that model: a place is scored by the product of two shares of single words, the one before and the
+one after, with no n-gram across the boundary. Full marks (``FULL``: zh, ja, hi and others) and the ends of
+quotations and brackets have odds set by hand, so counts hardly matter there. Transitions are not learned: they are even, but for
+places at most two characters apart, where a second boundary is unlikely. Only there do forward-backward
+probabilities differ from each place decided alone.
 
 In Thai, which has no marks, the model decides nothing: by definition of a unit there, each space without a
 digit beside it ends one in prose.
