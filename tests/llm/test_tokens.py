@@ -44,6 +44,12 @@ def test_dictionary_is_bounded(monkeypatch, whole):
     assert e.batch([])[0].tolist() == [0] and e.batch([None, ""])[0].tolist() == [0, 0, 0]
 
 
+def test_other_vocabularies_are_refused(spark):
+    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        K.encode_corpus(df, name="byte_bpe_multi_50k.tiktoken")
+
+
 def test_frames(spark, whole):
     rows = [(1, "a b", 1), (1, "a b", 2), (2, None, 3), (3, "", 4), (None, "x" * 30_000, 5), (4, "<|endoftext|>", 6)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids int")

@@ -4,7 +4,8 @@ A rolling hash over the last ``WINDOW`` code points of a text proposes cuts, so
 equal passages of different documents are cut alike. Each proposed join is then repaired:
 the run of characters that straddles it is encoded with the left chunk,
 up to the first place where the chunks on both sides agree exactly with the
-encoding of the whole text. Such a place follows from the tokenizer's pre-splitting:
+encoding of the whole text. Nothing is encoded again or compared at a join: such a place follows from the
+pre-splitting of byte_bpe_50k, and other vocabularies are refused:
 it never joins a letter with a following non-letter, a digit with a following
 non-digit, or anything with white space after it, and it looks at most one
 character ahead, at white space only. Chunks that were met before in the worker
@@ -34,6 +35,7 @@ MASK = 3  # a cut is proposed where the hash has these bits clear
 MULTIPLIER = np.uint32(0x9E3779B1)
 DICTIONARY = 400_000  # chunks kept by a worker; at the limit it starts anew
 LONGEST = 400  # longer chunks are not kept
+VOCABULARY = "byte_bpe_50k.tiktoken"
 DEFAULT_DIR = "/opt/tokenizers"
 #: How byte_bpe_50k splits a text before merging bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -125,8 +127,10 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizers: str = DEFAULT_DIR, name: str = "byte_bpe_50k.tiktoken", characters: int = 4_000_000) -> DataFrame:
+def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizers: str = DEFAULT_DIR, name: str = VOCABULARY, characters: int = 4_000_000) -> DataFrame:
     """(doc_id, ids) for each row. ``tokenizers`` is the folder of the vocabulary files on every executor; about ``characters`` are handled at once."""
+    if name != VOCABULARY:
+        raise ValueError(f"joins are proved for {VOCABULARY} only, not for {name}")
     path = f"{tokenizers.rstrip('/')}/{name}"
     kind = docs.schema[doc_id].dataType.simpleString()
 
