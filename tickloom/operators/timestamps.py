@@ -16,7 +16,8 @@ White space around the text counts for nothing, letter case neither. Text with a
 offset keeps it; a bracketed zone name holds for the text; an abbreviation is
 that of the source's zone; other wall-clock text is in the source's zone; a
 source that is missing from the lookup, or has several zones there, has none, and its wall-clock
-text is ``invalid``. An empty frame gives an empty frame. All other columns
+text is ``invalid``. Abbreviations are known only for the zones in ``ABBREVIATIONS``, those of the test
+feeds; of any other zone (PST, MSK) they are ``invalid``, but for UTC and GMT. An empty frame gives an empty frame. All other columns
 pass through; existing columns of the output names are replaced.
 """
 
