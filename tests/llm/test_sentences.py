@@ -1,27 +1,15 @@
 """Sentence units by hand, and what holds for any text."""
 
 import random
-from collections import Counter
+from functools import lru_cache
 
-import numpy as np
 import pytest
 
 S = pytest.importorskip("tickloom.llm.sentences")
 
 
-def model(texts=()):
-    table = Counter()
-    for t in texts:
-        S.count(t, table)
-    sure, open_ = np.zeros(2 * S.BUCKETS, np.int64), np.zeros(2 * S.BUCKETS, np.int64)
-    for (kind, w, c), n in table.items():
-        if kind != "rate":
-            (sure if c == 0 else open_)[S.bucket(kind, w)] += n
-    return S.Model(sure, open_, 0.7)
-
-
-def split(text, m=None):
-    return [text[a:b] for a, b in S.units(text, m or model())]
+def split(text, m=None, **how):
+    return [text[a:b] for a, b in S.units(text, m or S.model_of([]), **how)]
 
 
 CASES = [
@@ -51,7 +39,7 @@ CASES = [
 
 @pytest.mark.parametrize("case", CASES)
 def test_cases(case):
-    m = model()
+    m = S.model_of([])
     want = case.split("|")
     if "!Nobody" in case:
         want = ["The ledger vanished!", "Nobody found it."]
@@ -75,17 +63,32 @@ def test_texts_in_one_case():
 def test_blocks():
     text = "Court of Quenby\n\n27-0001/17\r\n \r\nHaverquist v. Orvelle Mills\n　\nThe lease ended.  Nobody paid.\n\n\n  \nMr. Judge"
     assert split(text) == ["Court of Quenby", "27-0001/17", "Haverquist v. Orvelle Mills", "The lease ended.", "Nobody paid.", "Mr. Judge"]
-    assert split("ทัสเมอร์ กับ ออเวล\n\nผู้พิพากษา ทัสเมอร์\n\n07-0003/19") == ["ทัสเมอร์ กับ ออเวล", "ผู้พิพากษา ทัสเมอร์", "07-0003/19"]
 
 
-def test_thai_courts_and_judges():
-    told = ["ศาลเห็นว่าสัญญาชำรุดมาก่อน", "ศาลเห็นว่าโกดังชำรุดมาก่อน"]
-    assert split("ศาลแพ่ง มิรา\n\n" + " ".join(told)) == ["ศาลแพ่ง มิรา", *told]
-    assert split(" ".join(told)) == told
-    assert split("07-0003/19\n\nศาลพิพากษายกฟ้อง คู่ความไม่โต้แย้ง") == ["07-0003/19", "ศาลพิพากษายกฟ้อง", "คู่ความไม่โต้แย้ง"]
-    assert split("คู่ความไม่โต้แย้ง\n\nผู้พิพากษาเห็นว่าคลองชำรุด คู่ความไม่โต้แย้ง") == ["คู่ความไม่โต้แย้ง", "ผู้พิพากษาเห็นว่าคลองชำรุด", "คู่ความไม่โต้แย้ง"]
-    for block in ("ผู้พิพากษา ทัสเมอร์ ออเวล", "ผู้พิพากษา [ปกปิด]", "ศาลเวลานี แผนกคดีแพ่ง"):
-        assert split(block) == [block]
+THAI = ["คู่ความไม่โต้แย้งเรื่องกำแพง", "ศาลเห็นว่าโกดังชำรุดมาก่อน", "พยานให้การว่าสะพานว่างเปล่า", "อัตราดอกเบี้ยคือร้อยละ 11.82 ต่อปี", "จำเลยจ่ายเงิน 791 โครนเป็นค่ากำแพง"]
+
+
+@lru_cache(1)
+def thai_model():
+    rnd = random.Random(3)
+    names = ["ทัสเมอร์", "ออเวล", "มัลดริน", "[ปกปิด]"]
+    docs = []
+    for _ in range(60):
+        blocks = [f"{rnd.choice(names)} กับ {rnd.choice(names)}"]
+        blocks += [f"[{i + 1}] " + " ".join(rnd.choices(THAI, k=rnd.choice([1, 1, 2, 3]))) for i in range(8)]
+        docs.append("\n\n".join([*blocks, f"ผู้พิพากษา {rnd.choice(names)}"]))
+    return S.model_of(docs)
+
+
+def test_scripts_without_marks_go_by_the_model():
+    m = thai_model()
+    assert split(" ".join(THAI), m) == THAI
+    told = ["ศาลเห็นว่าโกดังชำรุดมาก่อน", "คู่ความไม่โต้แย้งเรื่องกำแพง", "พยานให้การว่าสะพานว่างเปล่า"]
+    assert split("[9] " + " ".join(told), m) == ["[9] " + told[0], *told[1:]]
+    # what never begins or ends a paragraph does not here: no list of words says so
+    for block in ("มัลดริน กับ ทัสเมอร์", "[ปกปิด] กับ ออเวล", "ผู้พิพากษา ทัสเมอร์", "ผู้พิพากษา [ปกปิด]"):
+        assert split(block, m) == [block]
+    assert len(split("มัลดริน กับ ทัสเมอร์")) > 1  # untrained, spaces end sentences
 
 
 def test_long_quotations_and_brackets():
@@ -97,14 +100,77 @@ def test_long_quotations_and_brackets():
 
 
 def test_abbreviations_are_learned():
-    texts = [f"[{i}] Counsel for Zwx. {n} conceded it. The owner of Zwx. {n} paid the harvest. The court agreed with the owner.\n\nThe harvest ended.\n\nThe tribunal met the owner." for i, n in enumerate(["Quill", "Maldrin", "Orvelle", "Tasmer"] * 15)]
-    assert split("Counsel for Zwx. Maldrin conceded it. The court agreed with the owner.", model(texts)) == ["Counsel for Zwx. Maldrin conceded it.", "The court agreed with the owner."]
+    rnd = random.Random(5)
+    names = ["Quill", "Maldrin", "Orvelle", "Tasmer"]
+    said = ["Counsel for Zwxpq. {} conceded it.", "The owner of Zwxpq. {} paid the harvest.", "The court agreed with the owner.", "The harvest ended in August."]
+    texts = ["\n\n".join(" ".join(s.format(rnd.choice(names)) for s in rnd.choices(said, k=rnd.choice([1, 1, 2, 3]))) for _ in range(4)) for _ in range(40)]
+    want = ["Counsel for Zwxpq. Maldrin conceded it.", "The court agreed with the owner."]
+    assert split(" ".join(want), S.model_of(texts)) == want
+    assert len(split(" ".join(want))) == 3
+
+
+def test_closing_marks_are_learned():
+    # a mark that stands within paragraphs only ends nothing
+    texts = ["他说好！然后走了。\n\n大家都知道。他说好！然后走了。"] * 60
+    assert split("他说好！然后走了。", S.model_of(texts)) == ["他说好！然后走了。"]
+    assert split("他说好！然后走了。") == ["他说好！", "然后走了。"]
+
+
+def test_forward_backward_decides():
+    rnd = random.Random(2)
+    said = ["The owner paid for the long harvest of the year.", "Nobody in the town agreed with the court.", "Zwx. Quill met the owner again.", "Zwx. Orvelle and the panel agreed."]
+    texts = ["\n\n".join(" ".join(rnd.choices(said, k=rnd.choice([1, 1, 2, 3]))) for _ in range(5)) for _ in range(60)]
+    m = S.model_of(texts)
+    assert m.length["l", 1] < 0.2 < m.base["l"]
+    # the number by itself would end a sentence; directly after a boundary it does not
+    text = "The owner paid for the long harvest of the year. 1990. Marlowe left the town."
+    assert split(text, m, forward_backward=False) == ["The owner paid for the long harvest of the year.", "1990.", "Marlowe left the town."]
+    assert split(text, m) == ["The owner paid for the long harvest of the year.", "1990. Marlowe left the town."]
+
+
+def test_posteriors_against_all_paths():
+    import itertools
+    import math
+
+    m = S.model_of([])
+    m.base["l"], m.length = 0.6, {("l", 1): 0.05, ("l", 2): 0.3, ("l", 3): 0.6}
+    rnd = random.Random(11)
+    for _ in range(200):
+        n = rnd.randrange(1, 7)
+        odds, tokens = [rnd.uniform(-3, 3) for _ in range(n)], [rnd.randrange(1, 4) for _ in range(n)]
+        mass = [0.0] * n
+        total = 0.0
+        for path in itertools.product((0, 1), repeat=n):
+            p, before = 1.0, 1
+            for e, x, k in zip(path, odds, tokens):
+                h = m.length["l", k] if before else 0.6
+                p *= h * math.exp(x - math.log(0.6 / 0.4)) if e else 1 - h
+                before = e
+            total += p
+            for i, e in enumerate(path):
+                mass[i] += p * e
+        assert m.decide("l", odds, tokens) == [x > total / 2 for x in mass]
+
+
+def test_the_vocabulary_is_bounded(spark, monkeypatch):
+    texts = [f"The w{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10]}x ended. Nobody paid." for i in range(100)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    whole = S.train(df)
+    few = S.model_of(texts)
+    assert (whole.h == few.h).all() and (whole.sure == few.sure).all() and (whole.open == few.open).all()
+    monkeypatch.setattr(S, "VOCABULARY", 8)
+    small = S.train(df)
+    assert len(small.h) <= 8
+    # the most frequent ones stay, with their own counts
+    at = dict(zip(whole.h.tolist(), (whole.sure + whole.open).tolist()))
+    for h, n in zip(small.h.tolist(), (small.sure + small.open).tolist()):
+        assert n == at[h] == max(v for k, v in at.items() if k % 8 == h % 8)
 
 
 def test_what_holds_for_any_text():
     rnd = random.Random(7)
     pieces = ["word", "Word", ".", "!", "?", " ", "  ", "\n", "\n\n", "\r\n", "“", "”", '"', "(", ")", "«", "»", "。", "」", "「", "a.", "9.", "1", "ไทย", "中", "​", "　", "🙂", "…", ";", "é", "[1] "]
-    m = model()
+    m = S.model_of([])
     for _ in range(3000):
         t = "".join(rnd.choice(pieces) for _ in range(rnd.randrange(40)))
         at, covered = 0, []
@@ -115,12 +181,6 @@ def test_what_holds_for_any_text():
         assert not "".join([*covered, t[at:]]).strip()
 
 
-def test_forward_backward_keeps_boundaries_apart():
-    m = model()
-    assert m.decide([9.0, 4.0], [False, True]) == [True, False]
-    assert m.decide([9.0, 4.0], [False, False]) == [True, True]
-
-
 def test_frames(spark):
     rows = [(1, "The lease ended. Nobody paid."), (2, None), (3, ""), (4, " \n\n \t"), (None, "One unit"), (1, "The lease ended. Nobody paid."), (5, "x" * 200_000)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, start_char int")

@@ -1,26 +1,25 @@
-"""Sentence units of texts in scripts with sentence marks, and of Thai.
+"""Sentence units of texts in any script, by a hidden-event n-gram model.
 
-A hidden-event n-gram model inserts a boundary token between words. At every place where
-a unit could end (after closing marks and what closes with them) the
-model compares the two ways to go on:
+Between the words of a paragraph stand hidden events: a boundary or none. Places where a boundary may
+stand are found by structure (after closing marks and what closes with them; in scripts
+that end sentences with a space, such as Thai, at spaces without a digit beside them). The n-gram model gives for each place
 
-* with a boundary: the word before ends a sentence, the word after begins one;
-* without: the word before (an abbreviation, an ordinal, an initial) goes on.
+* with a boundary: P(boundary | two words before) P(two words after | boundary);
+* without: P(none | two words before) P(two words after | none);
 
-How often a word ends or begins sentences is learned from the corpus itself: ends and beginnings of paragraphs
-are certain boundaries. A type that stands within paragraphs far more often than its
-share at their ends must mostly be no boundary there. The counts cover all documents; they are
-kept in two hashed tables of ``BUCKETS`` entries, whose size does not grow with the corpus. Types that
-are rare lean on their shape.
+each n-gram smoothed by the next shorter one, the single word by its class (script, mark, what closes, shape of the
+word), the class by a weak guess. Events depend on each other by length: after a boundary, P(boundary | tokens since it). Forward-backward
+over the places of a paragraph, whose start is a boundary, gives the posterior of each event; above one half, a unit ends there.
 
-This is a reduced form of that model: a place is scored by the product of two shares of single words, the one before and the
-one after, with no n-gram across the boundary. Full marks (``FULL``: zh, ja, hi and others) and the ends of
-quotations and brackets have odds set by hand, so counts hardly matter there. Transitions are not learned: they are even, but for
-places at most two characters apart, where a second boundary is unlikely. Only there do forward-backward
-probabilities differ from each place decided alone.
+Nothing is labelled. Ends and beginnings of paragraphs are certain boundaries; within paragraphs events are hidden, but a
+sentence ends within a paragraph ``rho`` times as often as at its end, so of the ``open`` places where an n-gram stands
+within paragraphs, about ``rho * sure`` are boundaries, where ``sure`` counts it at paragraphs' ends. ``rho`` of a script is the
+median of open / sure over the ends, weighted by sure: most words at ends are no abbreviations.
 
-In Thai, which has no marks, the model decides nothing: by definition of a unit there, each space without a
-digit beside it ends one in prose.
+All documents are counted, by exact sums of n-grams. The model keeps a vocabulary of ``VOCABULARY`` places: of the n-grams whose hashes share
+a place, the most frequent one stays. The others are unknown to the model, as rare words are to any n-gram model, and are taken
+by the next shorter n-gram or their class. So its size is bounded, counts are never mixed, and what it keeps of a growing
+corpus are its most frequent n-grams.
 
 Structure first: blank lines end units; single line breaks do not; within quotations
 and brackets that close in the same paragraph nothing ends.
@@ -32,19 +31,26 @@ rows with a null id keep it; an empty frame gives an empty one; of other columns
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 17
-KEPT = 4.0  # weight of the shape against the counts
-ADJACENT = 0.02  # chance of a boundary directly after one
+VOCABULARY = 1 << 20  # n-grams the model can hold
+KEPT = 4.0  # weight of the shorter n-gram, or of the class, against the counts
+SEEN = 5  # a type counts at most so often for its class
+SIGMAS = 2.0  # a count is above another only by more than so many standard deviations
+SLACK = 0.2  # rho of a word may be above that of its script by so much
+LENGTH = 0.5  # weight of the length, which says in part what the words say
+LONGEST = 40  # longer sentences are alike in length
+MEMO = 200_000  # odds kept by a worker; they are the same when computed again
 BLANK_LINE = re.compile(r"\n[^\S\n]*\n\s*")
 ODD_SPACES = "\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 NUMBER = re.compile(r"\s*(?:[\[(（【]\d{1,4}[\])）】]|(?:Rn|No|Nr|n)\. ?\d{1,4}|§ ?\d{1,4}|\d{1,4}(?:\.º|[.)º．、])|\d{1,4}(?=[ 　]))(?=\s|\D)\s*")
@@ -63,15 +69,13 @@ OPENER = re.compile("[“„«「『\"（(\\[]")
 OPENING = "\"“„«‹‘([「『（【《¿¡—–- "
 DIGITS = re.compile(r"\d+")
 TAIL = ".,;:!?…\"”“’»)]」』）】"
-THAI = re.compile(r"[฀-๿]")
-#: What a court or a judge does, in a sentence and not in a name.
-THAI_SAYS = re.compile(r"(?:ศาล|ผู้พิพากษา)(?:(?:นี้|ชั้นต้น|อุทธรณ์|ฎีกา)?(?:เห็น|วินิจฉัย|ตัดสิน|พิเคราะห์|สั่ง|มีคำ|ยก|รับฟัง|กล่าว|ถาม|ให้|ได้|ไม่|จะ|จึง|พิพากษา)|[฀-๿]{2,}ว่า)")
-THAI_GAP = re.compile(r"(?<=[^\s\d]) +(?=[^\s\d])")
-
-
-def bucket(kind: str, word: str) -> int:
-    """Place of a type in the tables: ends in the lower half, beginnings in the upper."""
-    return xxhash.xxh32_intdigest(word) % BUCKETS + (BUCKETS if kind == "begin" else 0)
+#: Scripts whose sentences end with a space.
+SPACE_ENDS = "\u0e00-\u0eff\u1780-\u17ff"
+SPACE_ENDED = re.compile(f"[{SPACE_ENDS}]")
+GAP = re.compile(f"(?<=[^\\s\\d]) +(?=[{SPACE_ENDS}])|(?<=[{SPACE_ENDS}]) +(?=[^\\s\\d])")
+LETTER = re.compile(r"[^\W\d_]")
+#: No spaces between words.
+DENSE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 
 
 def blocks(text: str) -> Iterator[tuple[int, int]]:
@@ -115,32 +119,55 @@ def digits(w: str) -> str:
     return w if w.isalpha() or w[:-1].isalpha() else DIGITS.sub("9", w)
 
 
-def places(s: str, body: int, terminal: re.Pattern = TERMINAL, never: set[str] | frozenset[str] = frozenset()) -> list[tuple[int, int, str, str, str, bool, str]]:
-    """(mark, end, word before, word after, marks, direct, span) of every place within the block where a unit could end.
+def _script(m: re.Match | None) -> str:
+    c = ord(m.group()) if m else 65
+    if c < 0x370:
+        return "l"
+    if c < 0x400 or 0x1F00 <= c < 0x2000:
+        return "g"
+    if c < 0x590:
+        return "c"
+    if c < 0x900:
+        return "a"
+    if c < 0xE00:
+        return "d"
+    if c < 0xF00 or 0x1780 <= c < 0x1800:
+        return "t"
+    return "z" if DENSE.match(m.group()) else "o"
+
+
+def script_of(s: str, body: int = 0) -> str:
+    """The script of a block, as two of three of its letters have it."""
+    third = (len(s) - body) // 3
+    first = _script(LETTER.search(s, body))
+    second = _script(LETTER.search(s, body + third))
+    return first if first == second else _script(LETTER.search(s, body + 2 * third))
+
 
-    ``s`` has plain spaces only; ``body`` is where its number ends. ``direct``: no space follows. ``span`` is the
-    kind of what closes here: ``quote-first``, ``quote``, ``bracket-first``, ``bracket`` or nothing. Words of ``never`` end
-    nothing.
+#: (mark, end, word before the last, word before, word after, the next, marks, span, tokens since the place before, opened)
+Place = tuple[int, int, str, str, str, str, str, str, int, bool]
+
+
+def places(s: str, body: int, script: str, terminal: re.Pattern = TERMINAL, flat: bool = False) -> tuple[list[Place], Place | None]:
+    """Every place within the block where a unit could end, and the end of the block if it is one.
+
+    ``s`` has plain spaces only; ``body`` is where its number ends; ``flat``: all its letters are of one case. The span is the
+    kind of what closes at the place: ``quote-first``, ``quote``, ``bracket-first``, ``bracket`` or nothing.
     """
-    out: list[tuple[int, int, str, str, str, bool, str]] = []
+    out: list[Place] = []
+    final: Place | None = None
     spans: list[tuple[int, int]] | None = None
-    k, n, done = 0, len(s), body
+    k, n, done, since = 0, len(s), body, body
+    dense = script == "z"
     for m in terminal.finditer(s, body):
         a, z = m.span()
         if a < done:
             continue
         c = s[z : z + 1]
-        if c == " ":
-            word = s[s.rfind(" ", 0, a) + 1 : z]
-            if word in never:
-                continue
-            end = CLOSING.match(s, z).end() if s[z + 1 : z + 2] == "»" else z
-        elif not c:
-            break
+        if not c or c == " " and s[z + 1 : z + 2] != "»":
+            end = z
         else:
             end = CLOSING.match(s, z).end()
-        if end >= n:
-            break
         if spans is None:
             spans = spans_of(s, body)
         while k < len(spans) and spans[k][1] <= a:
@@ -151,8 +178,6 @@ def places(s: str, body: int, terminal: re.Pattern = TERMINAL, never: set[str] |
                 end = CLOSING.match(s, end + 1).end()
             if end < spans[k][1]:
                 continue
-            if end >= n:
-                break
             before = s[body : spans[k][0]].rstrip()
             first = not before or before[-1] in ".!?。！？।؟" or (before[-1] in "”»“\"」）)" and before[-2:-1] in ".!?。！？।؟ ")
             span = ("bracket" if s[spans[k][0]] in "([（" else "quote") + ("-first" if first else "")
@@ -160,139 +185,287 @@ def places(s: str, body: int, terminal: re.Pattern = TERMINAL, never: set[str] |
         nxt = end
         while nxt < n and s[nxt] == " ":
             nxt += 1
+        marks = m.group()
+        if dense:
+            w1, w0 = s[max(body, a - 2) : z], s[max(body, a - 4) : max(body, a - 2)]
+            tokens = (a - since) // 2 + 1
+        else:
+            start = s.rfind(" ", 0, a) + 1
+            w1 = digits(s[start:z].lstrip(OPENING))
+            w0 = digits(s[s.rfind(" ", 0, start - 1) + 1 : start - 1].lstrip(OPENING)) if start > body + 1 else ""
+            tokens = s.count(" ", since, a) + 1
         if nxt >= n:
+            final = (a, end, w0, w1, "", "", marks, span, tokens, False)
             break
-        start = s.rfind(" ", 0, a) + 1
         word = nxt
         while word < n and s[word] in OPENING and s[word] != "[":
             word += 1
-        stop = s.find(" ", word, word + 40)
-        w1 = digits(s[max(start, a - 40) : z].lstrip(OPENING))
-        w2 = digits(s[word : stop if stop >= 0 else word + 40].rstrip(TAIL))
-        out.append((a, end, w1, w2, m.group(), nxt == end, span))
-    return out
+        if dense:
+            w2, w3 = s[word : word + 2], s[word + 2 : word + 4]
+        else:
+            stop = s.find(" ", word)
+            if stop < 0:
+                w2, w3 = digits(s[word:].rstrip(TAIL)), ""
+            else:
+                w2 = digits(s[word:stop].rstrip(TAIL))
+                stop2 = s.find(" ", stop + 1)
+                w3 = digits((s[stop + 1 :] if stop2 < 0 else s[stop + 1 : stop2]).rstrip(TAIL))
+        if nxt == end and marks[-1] not in FULL:
+            # a space is missing: only a word that ended before a capital
+            x, y, last = w2[:1], w2[1:2], w1[-2:-1]
+            if flat:
+                x, y, last = x.upper(), y.lower(), last.lower()
+            if not x.isupper() or not span and not (y.islower() and (marks[-1] in "!?" or last.islower() or last in "9)]%")):
+                continue
+        since = nxt
+        out.append((a, end, w0, w1, w2, w3, marks, span, tokens, word > nxt))
+    if script == "t":
+        out, final = _gaps(s, body, out)
+    return out, final
+
 
+def _piece(w: str, last: bool) -> str:
+    """A word that may be a whole clause: its end or its beginning stands for it."""
+    w = digits(w)
+    return w if len(w) <= 12 else "~" + w[-6:] if last else w[:6] + "~"
 
-def _shape_end(w: str) -> float:
-    core = w.rstrip(".")
-    if not core:
-        return 0.1
-    if core[-1].isdigit():
-        return 0.5
-    if w.endswith("..."):
-        return 0.3
-    if len(core) == 1 or "." in core:
-        return 0.08
-    if len(core) <= 3:
-        return 0.15 if core[0].isupper() else 0.5
-    return 0.9
-
-
-def _shape_begin(w: str) -> float:
-    if not w:
-        return 0.5
-    c = w[0]
-    if c.isdigit():
-        return 0.4
-    if c.islower():
+
+def _gaps(s: str, body: int, marked: list[Place]) -> tuple[list[Place], Place | None]:
+    """Places at spaces, beside those after marks."""
+    out = []
+    words = s[body:].split(" ")
+    edges = [m.start() for m in GAP.finditer(s, body)]
+    since = body
+    for a in edges:
+        b = a
+        while s[b] == " ":
+            b += 1
+        w1, w2 = s[s.rfind(" ", 0, a) + 1 : a], s[b : s.find(" ", b) if " " in s[b:] else len(s)]
+        out.append((a, a, "", _piece(w1, True), _piece(w2, False), "", " ", "", s.count(" ", since, a) + 1, False))
+        since = b
+    end = len(s.rstrip())
+    final = None
+    if end > body and (body or len(words) > 1):
+        final = (end, end, "", _piece(s[s.rfind(" ", 0, end) + 1 : end], True), "", "", " ", "", s.count(" ", since, end) + 1, False)
+    if marked:
+        out = sorted([*out, *(p for p in marked if p[1] not in set(edges))])
+    return out, final
+
+
+def _number_end(s: str) -> int:
+    m = NUMBER.match(s)
+    return m.end() if m and m.end() < len(s) else 0
+
+
+def _read(plain: str) -> Iterator[tuple[int, str, int, str, list[Place], Place | None]]:
+    """(start, block, end of its number, script, places, final place) of each block."""
+    ascii_ = plain.isascii()
+    greek = GREEK_TERMINAL if not ascii_ and GREEK.search(plain) else TERMINAL
+    for a, z in blocks(plain):
+        s = plain[a:z].replace("\n", " ")
+        body = _number_end(s)
+        script = "l" if ascii_ else script_of(s, body)
+        small = s.islower()
+        flat = small or s.isupper()
+        found, final = places(s, body, script, UNCASED_TERMINAL if small else greek, flat)
+        if flat:  # the words as they would stand in a text of both cases
+            recase = lambda p: (p[0], p[1], p[2].lower(), p[3].lower(), p[4][:1].upper() + p[4][1:].lower(), p[5].lower(), *p[6:])
+            found, final = [recase(p) for p in found], final and recase(final)
+        yield a, s, body, script, found, final
+
+
+# n-grams and classes
+
+
+def _left_class(script: str, w: str, marks: str, span: str) -> str:
+    mark = marks[-1]
+    shape = ""
+    if not span and mark in ".…":
+        core = w.rstrip(".…")
+        if not core:
+            shape = "-"
+        elif core[-1].isdigit():
+            shape = "9"
+        elif w.endswith("...") or mark == "…":
+            shape = "e"
+        elif len(core) == 1:
+            shape = "i"
+        elif "." in core:
+            shape = "p"
+        else:
+            shape = ("S" if core[0].isupper() else "s") + str(min(len(core), 7))
+    return f"{script}{mark}{span}:{shape}"
+
+
+def _left_guess(script: str, cls: str) -> float:
+    """What a class is taken for while nothing is counted."""
+    mark, (span, shape) = cls[1], cls[2:].split(":")
+    if mark == " ":
+        return 0.9
+    if mark in FULL:
+        return 0.02 if span in ("quote-first", "bracket") else 0.97
+    if span.startswith("bracket") and mark == "…":
         return 0.02
-    return 0.8 if c.isalpha() else 0.5
+    if mark in "!?;\u037e" or span:
+        return 0.95
+    if shape[:1] in ("-", "9", "e", "i", "p", ""):
+        return {"-": 0.1, "9": 0.5, "e": 0.3, "i": 0.08, "p": 0.08, "": 0.9}[shape[:1]]
+    return 0.9 if shape[1:] > "3" else 0.15 if shape[0] == "S" else 0.5
 
 
-class Model:
-    """Hashed counts: of a type at the sure places, and at the open ones."""
+def _right_class(script: str, w: str, opened: bool, span: str) -> str:
+    c = w[:1]
+    kind = "-" if not c else "9" if c.isdigit() else "l" if c.islower() else "U" if c.isupper() else "n" if c.isalpha() else "," if c in ",;:、，；：と" else "o"
+    return f"{script}{kind}{'q' if opened else ''}{span[:1] if kind == 'l' else ''}"
+
+
+def _right_guess(cls: str) -> float:
+    return {"-": 0.5, "9": 0.4, "l": 0.02, "U": 0.8, "n": 0.6, ",": 0.02, "o": 0.5}[cls[1]]
+
 
-    def __init__(self, sure: np.ndarray, open_: np.ndarray, rate: float):
-        self.sure, self.open, self.rate = sure, open_, max(rate, 1e-3)
-        self._cache: dict[tuple[str, str], float] = {}
-        self.never: set[str] = set()  # words met that end nothing, whatever follows
+def _key(*parts: str) -> int:
+    return xxhash.xxh64_intdigest("\0".join(parts)) - (1 << 63)
 
-    def share(self, kind: str, w: str) -> float:
-        """Of the type's open places, the share that are boundaries."""
-        got = self._cache.get((kind, w))
+
+def _bounds(sure, open_, rho: float, prior):
+    """Of the open places of a type, how many may be boundaries: only what exceeds ``rho * sure`` by more than chance is none."""
+    seen = sure + prior
+    return np.minimum(open_, rho * ((1 + SLACK) * seen + SIGMAS * np.sqrt(sure)))
+
+
+def _share(sure: float, open_: float, rho: float, prior: float) -> float:
+    """Of the open places of a type, the share that are boundaries."""
+    seen = sure + prior
+    return (min(open_, rho * ((1 + SLACK) * seen + SIGMAS * math.sqrt(sure))) + KEPT * prior) / (open_ + KEPT)
+
+
+def _rho(sure: np.ndarray, open_: np.ndarray) -> float:
+    """Boundaries within paragraphs for each at an end: the median of open / sure, weighted by sure."""
+    often = sure >= 5
+    if sure[often].sum() >= 50:
+        sure, open_ = sure[often], open_[often]
+    if sure.sum() < 20:
+        return float((open_.sum() + 1) / (sure.sum() + 1))
+    ratio = open_ / np.maximum(sure, 1e-9)
+    order = np.argsort(ratio)
+    mass = np.cumsum(sure[order])
+    return max(float(ratio[order][np.searchsorted(mass, mass[-1] / 2)]), 0.05)
+
+
+def _logit(p: float) -> float:
+    p = min(max(p, 1e-4), 1 - 1e-4)
+    return math.log(p / (1 - p))
+
+
+class Model:
+    """The vocabulary: hashes in order, with the counts at the sure and at the open places; classes and scripts."""
+
+    def __init__(self, rows: pd.DataFrame):
+        """``rows`` (h, kind, cls, sure, open), one of each n-gram."""
+        rows = rows.sort_values("h")
+        self.h = rows.h.to_numpy(np.int64)
+        self.sure, self.open = rows.sure.to_numpy(np.int64), rows.open.to_numpy(np.int64)
+        self.rho: dict[str, float] = {}
+        self.base: dict[str, float] = {}
+        self.classes: dict[str, float] = {}
+        self._memo: dict[tuple, float] = {}
+        ends = rows[rows.kind == "e"]
+        for script, g in ends.groupby(ends.cls.str[0]):
+            self.rho[script] = _rho(g.sure.to_numpy(float), g.open.to_numpy(float))
+        for kind, guess in (("e", lambda c: _left_guess(c[0], c)), ("b", _right_guess)):
+            of = rows[rows.kind == kind]
+            for cls, g in of.groupby("cls"):
+                rho, p = self.rho.get(cls[0], 1.0), guess(cls)
+                weight = np.minimum(g.open.to_numpy(float), SEEN)
+                share = _bounds(g.sure.to_numpy(float), g.open.to_numpy(float), rho, p) / np.maximum(g.open.to_numpy(float), 1)
+                self.classes[kind + cls] = float(((weight * share).sum() + KEPT * p) / (weight.sum() + KEPT))
+        for script, g in ends.groupby(ends.cls.str[0]):
+            p = np.array([self.classes["e" + c] for c in g.cls])
+            b = _bounds(g.sure.to_numpy(float), g.open.to_numpy(float), self.rho[script], p).sum()
+            self.base[script] = float((b + KEPT / 2) / (g.open.sum() + KEPT))
+        lengths = rows[rows.kind == "k"]
+        self.length: dict[tuple[str, int], float] = {}
+        for script, g in lengths.groupby(lengths.cls.str[0]):
+            rho = _rho(g.sure.to_numpy(float), g.open.to_numpy(float))
+            for cls, sure, open_ in zip(g.cls, g.sure, g.open):
+                base = self.base.get(script, 0.5)
+                far = _logit(min(max(_share(sure, open_, rho, base), 0.01), base)) - _logit(base)  # short sentences are rarer; no length is a reason to end
+                self.length[script, int(cls[1:])] = 1 / (1 + math.exp(-_logit(base) - LENGTH * far))
+
+    def counts(self, *parts: str) -> tuple[int, int]:
+        key = _key(*parts)
+        i = int(np.searchsorted(self.h, key))
+        return (int(self.sure[i]), int(self.open[i])) if i < len(self.h) and self.h[i] == key else (0, 0)
+
+    def odds(self, script: str, place: Place) -> float:
+        """Log odds of a boundary against none, by the n-grams around the place alone."""
+        _, _, w0, w1, w2, w3, marks, span, _, opened = place
+        key = (script, w0, w1, w2, w3, marks, span, opened)
+        got = self._memo.get(key)
         if got is None:
-            b = bucket(kind, w)
-            n = float(self.open[b])
-            prior = _shape_end(w) if kind == "end" else _shape_begin(w)
-            got = (min(float(self.sure[b]) / self.rate, n) + KEPT * prior) / (n + KEPT)
-            got = min(max(got, 0.005), 0.98)
-            if len(self._cache) < 200_000:
-                self._cache[kind, w] = got
-                if kind == "end" and got <= 0.01 and "9" not in w:
-                    self.never.add(w)
+            got = self._odds(*key)
+            if len(self._memo) >= MEMO:
+                self._memo.clear()
+            self._memo[key] = got
         return got
 
-    def odds(self, w1: str, w2: str, marks: str, direct: bool, span: str) -> float:
-        """Boundary against none at one place."""
-        c = w2[:1]
-        full = marks[-1] in FULL
-        if direct and not full:
-            # a space is missing: only a word that ended before a capital
-            if span == "" and not (c.isupper() and w2[1:2].islower() and (marks[-1] in "!?" or w1[-2:-1].islower() or w1[-2:-1] in "9)]%")):
-                return 1e-6
-            if span and not c.isupper():
-                return 1e-3
-        if span.startswith("quote") and full:
-            return 0.02 if span == "quote-first" or c in "と、，," else 20.0
-        if span.startswith("bracket") and marks[-1] == "…":
-            return 0.02
-        if span == "bracket" and (full or not c.isupper()):
-            return 0.02
-        if full:
-            return 50.0
-        if not w2 or not (c.isalnum() or c == "[" or ord(c) > 0x2000):
-            return 0.05 if c in ",;:" else 1.0 if marks[-1] == "." else 10.0
-        a = self.share("end", w1) if marks[-1] == "." or marks[-1] == "…" else 0.97
-        if span:
-            a = max(a, 0.9)
-        b = self.share("begin", w2)
-        if c.islower():
-            b = min(b, 0.02)
-        return a / (1 - a) * b / (1 - b)
-
-    def decide(self, odds: list[float], near: list[bool]) -> list[bool]:
-        """Forward-backward over the places of a paragraph; ``near``: the place directly follows the one before."""
+    def _odds(self, script: str, w0: str, w1: str, w2: str, w3: str, marks: str, span: str, opened: bool) -> float:
+        rho, base = self.rho.get(script, 1.0), self.base.get(script, 0.5)
+        cls = _left_class(script, w1, marks, span)
+        a = self.classes.get("e" + cls)
+        a = _left_guess(script, cls) if a is None else a
+        a = _share(*self.counts("e", cls, w1), rho, a)
+        if w0:
+            a = _share(*self.counts("f", cls, w0, w1), rho, a)
+        cls = _right_class(script, w2, opened, span)
+        p = self.classes.get("b" + cls)
+        b = _right_guess(cls) if p is None else p
+        b = _share(*self.counts("b", cls, w2), rho, b)
+        if w3:
+            b = _share(*self.counts("c", cls, w2, w3), rho, b)
+        return _logit(a) + _logit(b) - _logit(base)
+
+    def decide(self, script: str, odds: list[float], tokens: list[int], forward_backward: bool = True) -> list[bool]:
+        """The events of a paragraph: posterior of a boundary above one half. Without ``forward_backward`` each place by itself."""
+        if not forward_backward:
+            return [x > 0 for x in odds]
+        base = self.base.get(script, 0.5)
+        shift = _logit(base)
         n = len(odds)
-        p = [o / (1 + o) for o in odds]
-        if n == 1 or not any(near):
-            return [x > 0.5 for x in p]
-        # state 1 is a boundary; after one, a near place is rarely one
-        fw, f = [], (1.0, 0.0)
-        for i in range(n):
-            to1 = f[0] * 0.5 + f[1] * (ADJACENT if near[i] else 0.5)
-            to0 = f[0] * 0.5 + f[1] * (1 - ADJACENT if near[i] else 0.5)
-            x0, x1 = to0 * (1 - p[i]), to1 * p[i]
-            t = x0 + x1 or 1.0
-            f = (x0 / t, x1 / t)
-            fw.append(f)
-        out, g = [False] * n, (1.0, 1.0)
+        like = [math.exp(min(max(x - shift, -30.0), 30.0)) for x in odds]
+        # P(boundary | boundary so many tokens before); the start of a paragraph is one
+        after = [min(max(self.length.get((script, min(k, LONGEST)), base), 1e-4), 1 - 1e-4) for k in tokens]
+        fw = []
+        f0, f1 = 0.0, 1.0
+        for x, h in zip(like, after):
+            y1 = (f0 * base + f1 * h) * x
+            y0 = f0 * (1 - base) + f1 * (1 - h)
+            t = y0 + y1
+            f0, f1 = y0 / t, y1 / t
+            fw.append((f0, f1))
+        out = [False] * n
+        g0 = g1 = 1.0
         for i in range(n - 1, -1, -1):
-            y0, y1 = fw[i][0] * g[0], fw[i][1] * g[1]
-            out[i] = y1 > y0
-            s = ADJACENT if near[i] else 0.5
-            e0, e1 = (1 - p[i]) * g[0], p[i] * g[1]
-            g = (0.5 * e0 + 0.5 * e1, (1 - s) * e0 + s * e1)
-            t = g[0] + g[1] or 1.0
-            g = (g[0] / t, g[1] / t)
+            f0, f1 = fw[i]
+            out[i] = f1 * g1 > f0 * g0
+            x, h = like[i], after[i]
+            e0, e1 = g0, x * g1
+            g0, g1 = (1 - base) * e0 + base * e1, (1 - h) * e0 + h * e1
+            t = g0 + g1
+            g0, g1 = g0 / t, g1 / t
         return out
 
 
-def _number_end(s: str) -> int:
-    m = NUMBER.match(s)
-    return m.end() if m and m.end() < len(s) else 0
-
-
-def units(text: str, model: Model) -> list[tuple[int, int]]:
+def units(text: str, model: Model, forward_backward: bool = True) -> list[tuple[int, int]]:
     """(start, end) of the units of a text, in code points."""
     out = []
-    plain = spaced(text)
-    greek = GREEK_TERMINAL if not text.isascii() and GREEK.search(text) else TERMINAL
-    thai = not text.isascii() and THAI.search(text) is not None
-    for a, z in blocks(plain):
-        s = plain[a:z].replace("\n", " ")
+    for a, s, _, script, found, _ in _read(spaced(text)):
+        ends: list[int] = []
+        if found:
+            yes = model.decide(script, [model.odds(script, p) for p in found], [p[8] for p in found], forward_backward)
+            ends = [p[1] for p, y in zip(found, yes) if y]
         at, n = 0, len(s)
-        first = thai and not plain[:a].strip()
-        for e in (*_ends(s, model, greek, thai, first), n):
+        for e in (*ends, n):
             while at < e and s[at] == " ":
                 at += 1
             j = e
@@ -304,73 +477,61 @@ def units(text: str, model: Model) -> list[tuple[int, int]]:
     return out
 
 
-def _ends(s: str, model: Model, terminal: re.Pattern, thai: bool, first: bool = False) -> list[int]:
-    body = _number_end(s)
-    small = s.islower()
-    found = places(s, body, UNCASED_TERMINAL if small else terminal, model.never)
-    ends = []
-    if found:
-        if small or s.isupper():  # the words as they would stand in a text of both cases
-            found = [(p[0], p[1], p[2].lower(), p[3][:1].upper() + p[3][1:].lower(), *p[4:]) for p in found]
-        odds = [model.odds(*p[2:]) for p in found]
-        near = [False] + [found[i][0] - found[i - 1][1] <= 2 for i in range(1, len(found))]
-        ends = [p[1] for p, yes in zip(found, model.decide(odds, near)) if yes]
-    if thai and THAI.search(s) and _thai_prose(s, body, first):
-        ends = sorted({*ends, *(m.start() for m in THAI_GAP.finditer(s, body) if THAI.match(s, m.start() - 1) or THAI.match(s, m.end()))})
-    return ends
-
-
-def _thai_prose(s: str, body: int, first: bool) -> bool:
-    """Parties (``A กับ B``), signatures, and the name of a court above the text are no prose.
-
-    A block that says something of a court or judge (``ศาลเห็นว่า``, the court holds that) is.
-    """
-    words = s[body:].split()
-    if body:
-        return True
-    if len(words) >= 3 and "กับ" in words[1:-1] and len(words) <= 6:
-        return False
-    if len(words) > 3 or THAI_SAYS.search(s):
-        return True
-    return not (words[0].startswith("ผู้พิพากษา") or (first and words[0].startswith("ศาล")))
-
-
-_ENDS = frozenset(".\"”“’'»)]」』）")
-
-
 def count(text: str, table: Counter) -> None:
-    """Add what the paragraphs of a text say about ends and beginnings."""
-    plain = spaced(text)
-    for a, z in blocks(plain):
-        s = plain[a:z]
-        words = s[_number_end(s) :].split()
-        if len(words) < 2:
+    """Add what the paragraphs of a text say: their places, whole, as sure (0) or open (1)."""
+    for _, s, body, script, found, final in _read(spaced(text)):
+        if not found and final is None:
             continue
-        at = [i for i, w in enumerate(words) if w[-1] in _ENDS and "." in w]
-        if not at:
-            continue
-        table["begin", digits(words[0].lstrip(OPENING).rstrip(TAIL)), 0] += 1
-        final = len(words) - 1
-        for i in at:
-            w = words[i].rstrip(TAIL[5:]).lstrip(OPENING)
-            if not w.endswith("."):
-                continue
-            w = digits(w)
-            table["end", w, int(i < final)] += 1
-            if i < final:
-                nxt = words[i + 1].lstrip(OPENING).rstrip(TAIL)
-                table["begin", digits(nxt), 1] += 1
-            # long words are no abbreviations: they tell how many ends lie within paragraphs
-            if len(w) > 6 and w[:-1].isalpha() and w.islower() and (i == final or not nxt[:1].islower()):
-                table["rate", "", int(i < final)] += 1
+        for i, p in enumerate(found):
+            table[script, *p[2:8], p[9], min(p[8], LONGEST) if i == 0 else 0, 1] += 1
+        if final:
+            words = s[body:].lstrip(OPENING)
+            opened = len(words) < len(s) - body
+            if script == "z":
+                w2, w3 = words[:2], words[2:4]
+            elif script == "t":
+                w2, w3 = _piece(words.split(" ", 1)[0], False), ""
+            else:
+                two = words.split(None, 2)
+                w2 = digits(two[0].rstrip(TAIL)) if two else ""
+                w3 = digits(two[1].rstrip(TAIL)) if len(two) > 1 else ""
+                if s.islower() or s.isupper():
+                    w2, w3 = w2[:1].upper() + w2[1:].lower(), w3.lower()
+            table[script, final[2], final[3], w2, w3, final[6], final[7], opened, 0 if found else min(final[8], LONGEST), 0] += 1
+
+
+def ngrams(table: Counter) -> Counter:
+    """Counts by (n-gram, kind, class, open)."""
+    out: Counter = Counter()
+    for (script, w0, w1, w2, w3, marks, span, opened, k, c), n in table.items():
+        left = _left_class(script, w1, marks, span)
+        out[_key("e", left, w1), "e", left, c] += n
+        if w0:
+            out[_key("f", left, w0, w1), "f", left, c] += n
+        right = _right_class(script, w2, opened, span if c else "")
+        out[_key("b", right, w2), "b", right, c] += n
+        if w3:
+            out[_key("c", right, w2, w3), "c", right, c] += n
+        if k:
+            out[_key("k", script, str(k)), "k", f"{script}{k}", c] += n
+    return out
+
 
+def _batch(table: Counter) -> pa.RecordBatch:
+    g = ngrams(table)
+    keys = list(g)
+    columns = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.string()), pa.array([k[3] for k in keys], pa.int32()), pa.array(list(g.values()), pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["h", "kind", "cls", "c", "n"])
 
-def _hashed(table: Counter) -> pa.RecordBatch:
-    hashed: Counter = Counter()
-    for (kind, w, c), n in table.items():
-        hashed[-1 if kind == "rate" else bucket(kind, w), c] += n
-    keys = list(hashed)
-    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int32()), pa.array([c for _, c in keys], pa.int32()), pa.array([hashed[k] for k in keys], pa.int64())], names=["b", "c", "n"])
+
+def model_of(texts: Iterable[str]) -> Model:
+    """The model of a few texts at hand."""
+    table: Counter = Counter()
+    for t in texts:
+        count(t, table)
+    df = _batch(table).to_pandas()
+    df = df.assign(sure=df.n.where(df.c == 0, 0), open=df.n.where(df.c == 1, 0))
+    return Model(df.groupby(["h", "kind", "cls"], as_index=False)[["sure", "open"]].sum())
 
 
 def train(docs: DataFrame, text: str = "text") -> Model:
@@ -381,20 +542,16 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         for b in batches:
             for t in b.column(0).to_pylist():
                 count(t, table)
-                if len(table) > 2_000_000:  # the words of one task alone must not fill its memory
-                    yield _hashed(table)
+                if len(table) > 500_000:  # the words of one task alone must not fill its memory
+                    yield _batch(table)
                     table.clear()
-        yield _hashed(table)
-
-    rows = docs.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "b int, c int, n bigint").groupBy("b").agg(F.sum(F.when(F.col("c") == 0, F.col("n"))).alias("sure"), F.sum(F.when(F.col("c") == 1, F.col("n"))).alias("open")).toPandas().fillna(0)
-    sure, open_ = np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64)
-    own = rows[rows.b >= 0]
-    sure[own.b.astype(int)], open_[own.b.astype(int)] = own.sure.astype(int), own.open.astype(int)
-    sure_marks = rows[rows.b < 0]
-    rate = 0.5
-    if len(sure_marks) and sure_marks.sure.sum() >= 50 and sure_marks.open.sum() > 0:
-        rate = float(sure_marks.sure.sum() / sure_marks.open.sum())
-    return Model(sure, open_, min(max(rate, 0.05), 5.0))
+        yield _batch(table)
+
+    rows = docs.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "h bigint, kind string, cls string, c int, n bigint")
+    types = rows.groupBy("h").agg(F.first("kind").alias("kind"), F.first("cls").alias("cls"), F.sum(F.when(F.col("c") == 0, F.col("n")).otherwise(0)).alias("sure"), F.sum(F.when(F.col("c") == 1, F.col("n")).otherwise(0)).alias("open"))
+    # at most VOCABULARY rows come to the driver
+    kept = types.groupBy(F.pmod(F.col("h"), F.lit(VOCABULARY)).alias("place")).agg(F.max(F.struct((F.col("sure") + F.col("open")).alias("n"), "h", "kind", "cls", "sure", "open")).alias("r"))
+    return Model(kept.select("r.h", "r.kind", "r.cls", "r.sure", "r.open").toPandas())
 
 
 def split_sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
