@@ -115,8 +115,17 @@ def spans_of(s: str, body: int) -> list[tuple[int, int]]:
     return out
 
 
-def digits(w: str) -> str:
-    return w if w.isalpha() or w[:-1].isalpha() else DIGITS.sub("9", w)
+class _Folded(dict):
+    """Words with their numbers folded; a bounded memo."""
+
+    def __missing__(self, w: str) -> str:
+        if len(self) >= MEMO:
+            self.clear()
+        got = self[w] = DIGITS.sub("9", w)
+        return got
+
+
+FOLD = _Folded()
 
 
 def _script(m: re.Match | None) -> str:
@@ -144,8 +153,10 @@ def script_of(s: str, body: int = 0) -> str:
     return first if first == second else _script(LETTER.search(s, body + 2 * third))
 
 
-#: (mark, end, word before the last, word before, word after, the next, marks, span, tokens since the place before, opened)
-Place = tuple[int, int, str, str, str, str, str, str, int, bool]
+#: What the n-grams say of a place: (script, word before the last, word before, word after, the next, marks, span, opened)
+Context = tuple[str, str, str, str, str, str, str, bool]
+#: (end, tokens since the place before, context)
+Place = tuple[int, int, Context]
 
 
 def places(s: str, body: int, script: str, terminal: re.Pattern = TERMINAL, flat: bool = False) -> tuple[list[Place], Place | None]:
@@ -159,43 +170,47 @@ def places(s: str, body: int, script: str, terminal: re.Pattern = TERMINAL, flat
     spans: list[tuple[int, int]] | None = None
     k, n, done, since = 0, len(s), body, body
     dense = script == "z"
+    fold, rfind, find = FOLD, s.rfind, s.find
     for m in terminal.finditer(s, body):
         a, z = m.span()
         if a < done:
             continue
         c = s[z : z + 1]
-        if not c or c == " " and s[z + 1 : z + 2] != "»":
+        if c == " " and s[z + 1 : z + 2] != "»" or not c:
             end = z
         else:
             end = CLOSING.match(s, z).end()
         if spans is None:
             spans = spans_of(s, body)
-        while k < len(spans) and spans[k][1] <= a:
-            k += 1
         span = ""
-        if k < len(spans) and spans[k][0] < a:
-            if end == spans[k][1] - 1 and s[end] in "“\"":  # these open elsewhere
-                end = CLOSING.match(s, end + 1).end()
-            if end < spans[k][1]:
-                continue
-            before = s[body : spans[k][0]].rstrip()
-            first = not before or before[-1] in ".!?。！？।؟" or (before[-1] in "”»“\"」）)" and before[-2:-1] in ".!?。！？।؟ ")
-            span = ("bracket" if s[spans[k][0]] in "([（" else "quote") + ("-first" if first else "")
-        done = end
-        nxt = end
+        if spans:
+            while k < len(spans) and spans[k][1] <= a:
+                k += 1
+            if k < len(spans) and spans[k][0] < a:
+                if end == spans[k][1] - 1 and s[end] in "“\"":  # these open elsewhere
+                    end = CLOSING.match(s, end + 1).end()
+                if end < spans[k][1]:
+                    continue
+                before = s[body : spans[k][0]].rstrip()
+                first = not before or before[-1] in ".!?。！？।؟" or (before[-1] in "”»“\"」）)" and before[-2:-1] in ".!?。！？।؟ ")
+                span = ("bracket" if s[spans[k][0]] in "([（" else "quote") + ("-first" if first else "")
+        done = nxt = end
         while nxt < n and s[nxt] == " ":
             nxt += 1
-        marks = m.group()
+        marks = s[a:z]
         if dense:
             w1, w0 = s[max(body, a - 2) : z], s[max(body, a - 4) : max(body, a - 2)]
             tokens = (a - since) // 2 + 1
         else:
-            start = s.rfind(" ", 0, a) + 1
-            w1 = digits(s[start:z].lstrip(OPENING))
-            w0 = digits(s[s.rfind(" ", 0, start - 1) + 1 : start - 1].lstrip(OPENING)) if start > body + 1 else ""
+            start = rfind(" ", 0, a) + 1
+            w1 = s[start:z]
+            if w1[0] in OPENING:
+                w1 = w1.lstrip(OPENING)
+            w1 = fold[w1]
+            w0 = fold[s[rfind(" ", 0, start - 1) + 1 : start - 1].lstrip(OPENING)] if start > body + 1 else ""
             tokens = s.count(" ", since, a) + 1
         if nxt >= n:
-            final = (a, end, w0, w1, "", "", marks, span, tokens, False)
+            final = (end, tokens, (script, w0, w1, "", "", marks, span, False))
             break
         word = nxt
         while word < n and s[word] in OPENING and s[word] != "[":
@@ -203,13 +218,13 @@ def places(s: str, body: int, script: str, terminal: re.Pattern = TERMINAL, flat
         if dense:
             w2, w3 = s[word : word + 2], s[word + 2 : word + 4]
         else:
-            stop = s.find(" ", word)
+            stop = find(" ", word)
             if stop < 0:
-                w2, w3 = digits(s[word:].rstrip(TAIL)), ""
+                w2, w3 = fold[s[word:].rstrip(TAIL)], ""
             else:
-                w2 = digits(s[word:stop].rstrip(TAIL))
-                stop2 = s.find(" ", stop + 1)
-                w3 = digits((s[stop + 1 :] if stop2 < 0 else s[stop + 1 : stop2]).rstrip(TAIL))
+                w2 = fold[s[word:stop].rstrip(TAIL)]
+                stop2 = find(" ", stop + 1)
+                w3 = fold[(s[stop + 1 :] if stop2 < 0 else s[stop + 1 : stop2]).rstrip(TAIL)]
         if nxt == end and marks[-1] not in FULL:
             # a space is missing: only a word that ended before a capital
             x, y, last = w2[:1], w2[1:2], w1[-2:-1]
@@ -218,7 +233,7 @@ def places(s: str, body: int, script: str, terminal: re.Pattern = TERMINAL, flat
             if not x.isupper() or not span and not (y.islower() and (marks[-1] in "!?" or last.islower() or last in "9)]%")):
                 continue
         since = nxt
-        out.append((a, end, w0, w1, w2, w3, marks, span, tokens, word > nxt))
+        out.append((end, tokens, (script, w0, w1, w2, w3, marks, span, word > nxt)))
     if script == "t":
         out, final = _gaps(s, body, out)
     return out, final
@@ -226,29 +241,27 @@ def places(s: str, body: int, script: str, terminal: re.Pattern = TERMINAL, flat
 
 def _piece(w: str, last: bool) -> str:
     """A word that may be a whole clause: its end or its beginning stands for it."""
-    w = digits(w)
+    w = FOLD[w]
     return w if len(w) <= 12 else "~" + w[-6:] if last else w[:6] + "~"
 
 
 def _gaps(s: str, body: int, marked: list[Place]) -> tuple[list[Place], Place | None]:
     """Places at spaces, beside those after marks."""
-    out = []
-    words = s[body:].split(" ")
-    edges = [m.start() for m in GAP.finditer(s, body)]
+    out: list[Place] = []
     since = body
-    for a in edges:
-        b = a
-        while s[b] == " ":
-            b += 1
-        w1, w2 = s[s.rfind(" ", 0, a) + 1 : a], s[b : s.find(" ", b) if " " in s[b:] else len(s)]
-        out.append((a, a, "", _piece(w1, True), _piece(w2, False), "", " ", "", s.count(" ", since, a) + 1, False))
+    for m in GAP.finditer(s, body):
+        a, b = m.span()
+        stop = s.find(" ", b)
+        w1, w2 = s[s.rfind(" ", 0, a) + 1 : a], s[b:] if stop < 0 else s[b:stop]
+        out.append((a, s.count(" ", since, a) + 1, ("t", "", _piece(w1, True), _piece(w2, False), "", " ", "", False)))
         since = b
     end = len(s.rstrip())
     final = None
-    if end > body and (body or len(words) > 1):
-        final = (end, end, "", _piece(s[s.rfind(" ", 0, end) + 1 : end], True), "", "", " ", "", s.count(" ", since, end) + 1, False)
+    if end > body and (body or " " in s[body:end].strip()):
+        final = (end, s.count(" ", since, end) + 1, ("t", "", _piece(s[s.rfind(" ", 0, end) + 1 : end], True), "", "", " ", "", False))
     if marked:
-        out = sorted([*out, *(p for p in marked if p[1] not in set(edges))])
+        at = {p[0] for p in out}
+        out = sorted([*out, *(p for p in marked if p[0] not in at)])
     return out, final
 
 
@@ -257,20 +270,24 @@ def _number_end(s: str) -> int:
     return m.end() if m and m.end() < len(s) else 0
 
 
+def _recased(p: Place) -> Place:
+    """The words as they would stand in a text of both cases."""
+    script, w0, w1, w2, w3, *rest = p[2]
+    return p[0], p[1], (script, w0.lower(), w1.lower(), w2[:1].upper() + w2[1:].lower(), w3.lower(), *rest)
+
+
 def _read(plain: str) -> Iterator[tuple[int, str, int, str, list[Place], Place | None]]:
     """(start, block, end of its number, script, places, final place) of each block."""
-    ascii_ = plain.isascii()
-    greek = GREEK_TERMINAL if not ascii_ and GREEK.search(plain) else TERMINAL
+    greek = GREEK_TERMINAL if not plain.isascii() and GREEK.search(plain) else TERMINAL
     for a, z in blocks(plain):
         s = plain[a:z].replace("\n", " ")
         body = _number_end(s)
-        script = "l" if ascii_ else script_of(s, body)
+        script = "l" if s.isascii() else script_of(s, body)
         small = s.islower()
         flat = small or s.isupper()
         found, final = places(s, body, script, UNCASED_TERMINAL if small else greek, flat)
-        if flat:  # the words as they would stand in a text of both cases
-            recase = lambda p: (p[0], p[1], p[2].lower(), p[3].lower(), p[4][:1].upper() + p[4][1:].lower(), p[5].lower(), *p[6:])
-            found, final = [recase(p) for p in found], final and recase(final)
+        if flat:
+            found, final = [_recased(p) for p in found], final and _recased(final)
         yield a, s, body, script, found, final
 
 
@@ -389,24 +406,23 @@ class Model:
             rho = _rho(g.sure.to_numpy(float), g.open.to_numpy(float))
             for cls, sure, open_ in zip(g.cls, g.sure, g.open):
                 base = self.base.get(script, 0.5)
-                far = _logit(min(max(_share(sure, open_, rho, base), 0.01), base)) - _logit(base)  # short sentences are rarer; no length is a reason to end
-                self.length[script, int(cls[1:])] = 1 / (1 + math.exp(-_logit(base) - LENGTH * far))
+                share = max(_share(sure, open_, rho, base), 0.01)
+                if share < base:  # sentences so short are rarer; no length is a reason to end
+                    far = LENGTH * _logit(share) + (1 - LENGTH) * _logit(base)
+                    self.length[script, int(cls[1:])] = 1 / (1 + math.exp(-far))
 
     def counts(self, *parts: str) -> tuple[int, int]:
         key = _key(*parts)
         i = int(np.searchsorted(self.h, key))
         return (int(self.sure[i]), int(self.open[i])) if i < len(self.h) and self.h[i] == key else (0, 0)
 
-    def odds(self, script: str, place: Place) -> float:
+    def odds(self, context: Context) -> float:
         """Log odds of a boundary against none, by the n-grams around the place alone."""
-        _, _, w0, w1, w2, w3, marks, span, _, opened = place
-        key = (script, w0, w1, w2, w3, marks, span, opened)
-        got = self._memo.get(key)
+        got = self._memo.get(context)
         if got is None:
-            got = self._odds(*key)
             if len(self._memo) >= MEMO:
                 self._memo.clear()
-            self._memo[key] = got
+            got = self._memo[context] = self._odds(*context)
         return got
 
     def _odds(self, script: str, w0: str, w1: str, w2: str, w3: str, marks: str, span: str, opened: bool) -> float:
@@ -430,11 +446,14 @@ class Model:
         if not forward_backward:
             return [x > 0 for x in odds]
         base = self.base.get(script, 0.5)
+        # P(boundary | boundary so many tokens before); the start of a paragraph is one
+        length = self.length
+        after = [length.get((script, k if k < LONGEST else LONGEST), base) for k in tokens]
+        if after.count(base) == len(after):  # the events do not depend on each other here
+            return [x > 0 for x in odds]
         shift = _logit(base)
         n = len(odds)
         like = [math.exp(min(max(x - shift, -30.0), 30.0)) for x in odds]
-        # P(boundary | boundary so many tokens before); the start of a paragraph is one
-        after = [min(max(self.length.get((script, min(k, LONGEST)), base), 1e-4), 1 - 1e-4) for k in tokens]
         fw = []
         f0, f1 = 0.0, 1.0
         for x, h in zip(like, after):
@@ -459,11 +478,12 @@ class Model:
 def units(text: str, model: Model, forward_backward: bool = True) -> list[tuple[int, int]]:
     """(start, end) of the units of a text, in code points."""
     out = []
+    odds = model.odds
     for a, s, _, script, found, _ in _read(spaced(text)):
         ends: list[int] = []
         if found:
-            yes = model.decide(script, [model.odds(script, p) for p in found], [p[8] for p in found], forward_backward)
-            ends = [p[1] for p, y in zip(found, yes) if y]
+            yes = model.decide(script, [odds(p[2]) for p in found], [p[1] for p in found], forward_backward)
+            ends = [p[0] for p, y in zip(found, yes) if y]
         at, n = 0, len(s)
         for e in (*ends, n):
             while at < e and s[at] == " ":
@@ -480,10 +500,10 @@ def units(text: str, model: Model, forward_backward: bool = True) -> list[tuple[
 def count(text: str, table: Counter) -> None:
     """Add what the paragraphs of a text say: their places, whole, as sure (0) or open (1)."""
     for _, s, body, script, found, final in _read(spaced(text)):
-        if not found and final is None:
-            continue
-        for i, p in enumerate(found):
-            table[script, *p[2:8], p[9], min(p[8], LONGEST) if i == 0 else 0, 1] += 1
+        k = 0
+        for p in found:
+            table[p[2], 0 if k else p[1] if p[1] < LONGEST else LONGEST, 1] += 1
+            k = 1
         if final:
             words = s[body:].lstrip(OPENING)
             opened = len(words) < len(s) - body
@@ -493,17 +513,18 @@ def count(text: str, table: Counter) -> None:
                 w2, w3 = _piece(words.split(" ", 1)[0], False), ""
             else:
                 two = words.split(None, 2)
-                w2 = digits(two[0].rstrip(TAIL)) if two else ""
-                w3 = digits(two[1].rstrip(TAIL)) if len(two) > 1 else ""
+                w2 = FOLD[two[0].rstrip(TAIL)] if two else ""
+                w3 = FOLD[two[1].rstrip(TAIL)] if len(two) > 1 else ""
                 if s.islower() or s.isupper():
                     w2, w3 = w2[:1].upper() + w2[1:].lower(), w3.lower()
-            table[script, final[2], final[3], w2, w3, final[6], final[7], opened, 0 if found else min(final[8], LONGEST), 0] += 1
+            c = final[2]
+            table[(script, c[1], c[2], w2, w3, c[5], c[6], opened), 0 if found else min(final[1], LONGEST), 0] += 1
 
 
 def ngrams(table: Counter) -> Counter:
     """Counts by (n-gram, kind, class, open)."""
     out: Counter = Counter()
-    for (script, w0, w1, w2, w3, marks, span, opened, k, c), n in table.items():
+    for ((script, w0, w1, w2, w3, marks, span, opened), k, c), n in table.items():
         left = _left_class(script, w1, marks, span)
         out[_key("e", left, w1), "e", left, c] += n
         if w0:
