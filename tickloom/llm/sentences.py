@@ -153,10 +153,12 @@ def script_of(s: str, body: int = 0) -> str:
     return first if first == second else _script(LETTER.search(s, body + 2 * third))
 
 
-#: What the n-grams say of a place: (script, word before the last, word before, word after, the next, marks, span, opened)
-Context = tuple[str, str, str, str, str, str, str, bool]
-#: (end, tokens since the place before, context)
-Place = tuple[int, int, Context]
+#: (script, word before the last, word before, marks, span)
+Left = tuple[str, str, str, str, str]
+#: (script, word after, the next, opened, span)
+Right = tuple[str, str, str, bool, str]
+#: (end, tokens since the place before, what stands before, what stands after)
+Place = tuple[int, int, Left, Right | None]
 
 
 def places(s: str, body: int, script: str, terminal: re.Pattern = TERMINAL, flat: bool = False) -> tuple[list[Place], Place | None]:
@@ -210,7 +212,7 @@ def places(s: str, body: int, script: str, terminal: re.Pattern = TERMINAL, flat
             w0 = fold[s[rfind(" ", 0, start - 1) + 1 : start - 1].lstrip(OPENING)] if start > body + 1 else ""
             tokens = s.count(" ", since, a) + 1
         if nxt >= n:
-            final = (end, tokens, (script, w0, w1, "", "", marks, span, False))
+            final = (end, tokens, (script, w0, w1, marks, span), None)
             break
         word = nxt
         while word < n and s[word] in OPENING and s[word] != "[":
@@ -233,7 +235,7 @@ def places(s: str, body: int, script: str, terminal: re.Pattern = TERMINAL, flat
             if not x.isupper() or not span and not (y.islower() and (marks[-1] in "!?" or last.islower() or last in "9)]%")):
                 continue
         since = nxt
-        out.append((end, tokens, (script, w0, w1, w2, w3, marks, span, word > nxt)))
+        out.append((end, tokens, (script, w0, w1, marks, span), (script, w2, w3, word > nxt, span)))
     if script == "t":
         out, final = _gaps(s, body, out)
     return out, final
@@ -253,12 +255,12 @@ def _gaps(s: str, body: int, marked: list[Place]) -> tuple[list[Place], Place |
         a, b = m.span()
         stop = s.find(" ", b)
         w1, w2 = s[s.rfind(" ", 0, a) + 1 : a], s[b:] if stop < 0 else s[b:stop]
-        out.append((a, s.count(" ", since, a) + 1, ("t", "", _piece(w1, True), _piece(w2, False), "", " ", "", False)))
+        out.append((a, s.count(" ", since, a) + 1, ("t", "", _piece(w1, True), " ", ""), ("t", _piece(w2, False), "", False, "")))
         since = b
     end = len(s.rstrip())
     final = None
     if end > body and (body or " " in s[body:end].strip()):
-        final = (end, s.count(" ", since, end) + 1, ("t", "", _piece(s[s.rfind(" ", 0, end) + 1 : end], True), "", "", " ", "", False))
+        final = (end, s.count(" ", since, end) + 1, ("t", "", _piece(s[s.rfind(" ", 0, end) + 1 : end], True), " ", ""), None)
     if marked:
         at = {p[0] for p in out}
         out = sorted([*out, *(p for p in marked if p[0] not in at)])
@@ -272,8 +274,11 @@ def _number_end(s: str) -> int:
 
 def _recased(p: Place) -> Place:
     """The words as they would stand in a text of both cases."""
-    script, w0, w1, w2, w3, *rest = p[2]
-    return p[0], p[1], (script, w0.lower(), w1.lower(), w2[:1].upper() + w2[1:].lower(), w3.lower(), *rest)
+    end, tokens, (script, w0, w1, *rest), right = p
+    if right:
+        _, w2, w3, opened, span = right
+        right = (script, w2[:1].upper() + w2[1:].lower(), w3.lower(), opened, span)
+    return end, tokens, (script, w0.lower(), w1.lower(), *rest), right
 
 
 def _read(plain: str) -> Iterator[tuple[int, str, int, str, list[Place], Place | None]]:
@@ -416,30 +421,36 @@ class Model:
         i = int(np.searchsorted(self.h, key))
         return (int(self.sure[i]), int(self.open[i])) if i < len(self.h) and self.h[i] == key else (0, 0)
 
-    def odds(self, context: Context) -> float:
+    def odds(self, left: Left, right: Right) -> float:
         """Log odds of a boundary against none, by the n-grams around the place alone."""
-        got = self._memo.get(context)
-        if got is None:
-            if len(self._memo) >= MEMO:
-                self._memo.clear()
-            got = self._memo[context] = self._odds(*context)
-        return got
-
-    def _odds(self, script: str, w0: str, w1: str, w2: str, w3: str, marks: str, span: str, opened: bool) -> float:
-        rho, base = self.rho.get(script, 1.0), self.base.get(script, 0.5)
+        memo = self._memo
+        a, b = memo.get(left), memo.get(right)
+        if a is None or b is None:
+            if len(memo) >= MEMO:
+                memo.clear()
+            a = memo[left] = self._before(*left)
+            b = memo[right] = self._after(*right)
+        return a + b
+
+    def _before(self, script: str, w0: str, w1: str, marks: str, span: str) -> float:
+        """Log odds of a boundary after these words."""
+        rho = self.rho.get(script, 1.0)
         cls = _left_class(script, w1, marks, span)
-        a = self.classes.get("e" + cls)
-        a = _left_guess(script, cls) if a is None else a
-        a = _share(*self.counts("e", cls, w1), rho, a)
+        p = self.classes.get("e" + cls)
+        p = _share(*self.counts("e", cls, w1), rho, _left_guess(script, cls) if p is None else p)
         if w0:
-            a = _share(*self.counts("f", cls, w0, w1), rho, a)
+            p = _share(*self.counts("f", cls, w0, w1), rho, p)
+        return _logit(p)
+
+    def _after(self, script: str, w2: str, w3: str, opened: bool, span: str) -> float:
+        """Log of P(words after | boundary) / P(words after | none)."""
+        rho = self.rho.get(script, 1.0)
         cls = _right_class(script, w2, opened, span)
         p = self.classes.get("b" + cls)
-        b = _right_guess(cls) if p is None else p
-        b = _share(*self.counts("b", cls, w2), rho, b)
+        p = _share(*self.counts("b", cls, w2), rho, _right_guess(cls) if p is None else p)
         if w3:
-            b = _share(*self.counts("c", cls, w2, w3), rho, b)
-        return _logit(a) + _logit(b) - _logit(base)
+            p = _share(*self.counts("c", cls, w2, w3), rho, p)
+        return _logit(p) - _logit(self.base.get(script, 0.5))
 
     def decide(self, script: str, odds: list[float], tokens: list[int], forward_backward: bool = True) -> list[bool]:
         """The events of a paragraph: posterior of a boundary above one half. Without ``forward_backward`` each place by itself."""
@@ -482,7 +493,7 @@ def units(text: str, model: Model, forward_backward: bool = True) -> list[tuple[
     for a, s, _, script, found, _ in _read(spaced(text)):
         ends: list[int] = []
         if found:
-            yes = model.decide(script, [odds(p[2]) for p in found], [p[1] for p in found], forward_backward)
+            yes = model.decide(script, [odds(p[2], p[3]) for p in found], [p[1] for p in found], forward_backward)
             ends = [p[0] for p, y in zip(found, yes) if y]
         at, n = 0, len(s)
         for e in (*ends, n):
@@ -498,12 +509,15 @@ def units(text: str, model: Model, forward_backward: bool = True) -> list[tuple[
 
 
 def count(text: str, table: Counter) -> None:
-    """Add what the paragraphs of a text say: their places, whole, as sure (0) or open (1)."""
+    """Add what the paragraphs of a text say: what stands before and after their places, at sure (0) and at open ones (1)."""
     for _, s, body, script, found, final in _read(spaced(text)):
         k = 0
         for p in found:
-            table[p[2], 0 if k else p[1] if p[1] < LONGEST else LONGEST, 1] += 1
-            k = 1
+            table[p[2], 1] += 1
+            table[p[3], 1] += 1
+            if not k:
+                k = p[1] if p[1] < LONGEST else LONGEST
+                table[(script, k), 1] += 1
         if final:
             words = s[body:].lstrip(OPENING)
             opened = len(words) < len(s) - body
@@ -517,24 +531,31 @@ def count(text: str, table: Counter) -> None:
                 w3 = FOLD[two[1].rstrip(TAIL)] if len(two) > 1 else ""
                 if s.islower() or s.isupper():
                     w2, w3 = w2[:1].upper() + w2[1:].lower(), w3.lower()
-            c = final[2]
-            table[(script, c[1], c[2], w2, w3, c[5], c[6], opened), 0 if found else min(final[1], LONGEST), 0] += 1
+            table[final[2], 0] += 1
+            table[(script, w2, w3, opened, ""), 0] += 1
+            if not found:
+                table[(script, min(final[1], LONGEST)), 0] += 1
 
 
 def ngrams(table: Counter) -> Counter:
     """Counts by (n-gram, kind, class, open)."""
     out: Counter = Counter()
-    for ((script, w0, w1, w2, w3, marks, span, opened), k, c), n in table.items():
-        left = _left_class(script, w1, marks, span)
-        out[_key("e", left, w1), "e", left, c] += n
-        if w0:
-            out[_key("f", left, w0, w1), "f", left, c] += n
-        right = _right_class(script, w2, opened, span if c else "")
-        out[_key("b", right, w2), "b", right, c] += n
-        if w3:
-            out[_key("c", right, w2, w3), "c", right, c] += n
-        if k:
+    for (place, c), n in table.items():
+        if len(place) == 2:
+            script, k = place
             out[_key("k", script, str(k)), "k", f"{script}{k}", c] += n
+        elif isinstance(place[3], bool):
+            script, w2, w3, opened, span = place
+            cls = _right_class(script, w2, opened, span)
+            out[_key("b", cls, w2), "b", cls, c] += n
+            if w3:
+                out[_key("c", cls, w2, w3), "c", cls, c] += n
+        else:
+            script, w0, w1, marks, span = place
+            cls = _left_class(script, w1, marks, span)
+            out[_key("e", cls, w1), "e", cls, c] += n
+            if w0:
+                out[_key("f", cls, w0, w1), "f", cls, c] += n
     return out
 
 
