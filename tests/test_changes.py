@@ -76,6 +76,34 @@ def test_random_against_brute_force(spark):
     assert due(spark, deliveries, runs) == sorted(want)
 
 
+def test_numbers_compare_exactly_and_by_kind(spark):
+    runs = [(1, 1, 9, "committed", at(10))]
+    pairs = [('{"a": 9007199254740993}', '{"a": 9007199254740992}', True), ('{"a": "1"}', '{"a": 1}', True), ('{"a": 1e2}', '{"a": 100.0}', False), ('{"a": 1e30}', '{"a": 1000000000000000000000000000000}', False), ('{"a": 1e-20}', '{"a": 0}', True), ('{"a": -0.0}', '{"a": 0}', False), ('{"a": 1, "a": 2}', '{"a": 2}', True), ('{"a": {"x": 1, "y": [2]}}', '{"a": {"y": [2], "x": 1.0}}', False)]
+    rows = [r for i, (x, y, _) in enumerate(pairs) for r in ((2 * i, 1, i, x, at(1)), (2 * i + 1, 1, i, y, at(20)))]
+    assert due(spark, rows, runs) == [(1, i) for i, p in enumerate(pairs) if p[2]]
+
+
+def test_changes_come_through_a_plan_that_is_replayed(spark, tmp_path):
+    """A change below the offset, a failure between plan and done, and rows that came meanwhile."""
+    root = f"file://{tmp_path}/log"
+    runs = last_successful_runs(spark.createDataFrame([(1, 1, 5, "committed", at(10))], R))
+    rows = [(1, 1, 1, '{"a": 1}', at(1)), (2, 1, 2, '{"a": 1}', at(2)), (3, 1, 1, '{"a": 2}', at(11)), (4, 1, 2, '{"a": 1.0}', at(12)), (5, 1, 6, "{}", at(3)), (6, 2, 1, "{}", at(4)), (7, 1, 2, '{"a": 3}', at(20)), (8, 3, 1, "{}", at(20))]
+    source = lambda n: spark.createDataFrame(rows[:n], D)
+    broken = ChangeLog(spark, root, "session_id", "event_index", ("ingested_at", "delivery_id"), "fields")
+    broken._mark_whole, broken._mark = broken._mark, lambda n: n and (_ for _ in ()).throw(RuntimeError("lost")) or broken._mark_whole(n)
+    start = runs.selectExpr("__key AS key", "struct(__at AS ingested_at, 9223372036854775807L AS delivery_id) AS end", "__offset AS floor")
+    broken.begin(start)
+    with pytest.raises(RuntimeError):
+        broken.run(source(6))
+    log = ChangeLog(spark, root, "session_id", "event_index", ("ingested_at", "delivery_id"), "fields")
+    assert log.plan(source(8)) == 1
+    assert log.run(source(8)) == 1  # the same ranges again
+    assert sorted((r.session_id, r.event_index, r.delivery_id) for r in log.read().collect()) == [(1, 1, 3), (1, 6, 5), (2, 1, 6)]
+    assert log.run(source(8)) == 2
+    assert sorted((r.session_id, r.event_index, r.delivery_id) for r in log.read().collect()) == [(1, 1, 3), (1, 2, 7), (1, 6, 5), (2, 1, 6), (3, 1, 8)]
+    assert log.run(source(8)) == 3 and log.rows(source(8), 3).count() == 0
+
+
 def test_log_survives_failures(spark, tmp_path):
     log = ChangeLog(spark, f"file://{tmp_path}/log", "session_id", "event_index")
     rows = lambda n: spark.createDataFrame([(s, e, s * 100 + e) for s in (1, 2) for e in range(n)], "session_id long, event_index long, v long")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,14 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only if ``df`` is counted to have at most ``max_rows`` rows.
+    """Broadcast ``df`` if it has at most ``max_rows`` rows, which are then read once, here.
 
     Otherwise the frame is returned as it is, and the join goes by shuffle
     (AQE splits its skewed partitions).
     """
-    if len(df.limit(max_rows + 1).select(F.lit(1)).take(max_rows + 1)) <= max_rows:
-        return F.broadcast(df)
-    return df
+    rows = df.limit(max_rows + 1).toArrow()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if rows.num_rows <= max_rows else df
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that all executors share (``spark.checkpoint.dir``); one of this machine only where none is set, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = set_before.get() if set_before.isDefined() else f"file://{tempfile.mkdtemp(prefix='tickloom-')}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def us(ts: Column | str) -> Column:
