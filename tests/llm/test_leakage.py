@@ -98,3 +98,23 @@ def test_similar_windows(spark):
     one_off = p.replace("w7", "v7")
     assert run(spark, [(1, one_off)], [(1, "en", p)]) == set()
     assert run(spark, [(1, one_off)], [(1, "en", p)], similarity=0.7, radius=20) == {(1, 1)}
+
+
+def test_windows_of_the_size_of_an_item(spark):
+    """Whole passages with a word altered come out by similarity; at the size of a leak only what is equal does."""
+    rnd = random.Random(8)
+    p = [f"w{rnd.randrange(10_000)}" for _ in range(40)]
+    altered = [*p[:20], "other", *p[21:]]
+    far = [w if i % 4 else "other" for i, w in enumerate(p)]
+    docs = [(1, "before it " + " ".join(altered) + " after it"), (2, " ".join(far)), (3, " ".join(p[:30]))]
+    items = [(1, "en", " ".join(p))]
+    assert run(spark, docs, items, words=40, similarity=0.8, radius=12) == {(1, 1)}
+    assert run(spark, docs, items) == {(1, 1), (3, 1)} == brute(docs, items)
+
+
+def test_many_items_take_one_scan(spark):
+    items = spark.range(20_000).selectExpr("id AS item_id", "'en' AS lang", "concat_ws(' ', transform(sequence(0, 9), x -> concat('w', id, 'x', x))) AS passage")
+    docs = spark.range(100).selectExpr("id AS doc_id", "concat('so ', concat_ws(' ', transform(sequence(1, 8), x -> concat('w', id * 7, 'x', x))), ' it was') AS text")
+    out = L.find_leaks(docs, items)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {(r.doc_id, r.item_id) for r in out.collect()} == {(i, 7 * i) for i in range(100)}

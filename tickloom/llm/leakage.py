@@ -10,8 +10,8 @@ looking up each block finds all of them. Candidates are then verified by the exa
 similarity of their weighted shingles (shared over all, with multiplicity); at similarity 1
 the units must also be the same in the same order.
 
-The items are a stated query set: they are taken in blocks of ``block_items``, each
-collected, indexed and broadcast for itself, against all documents. A document
+The items are a stated query set: up to ``block_items`` are collected, indexed and broadcast (some 5 KB an item of a hundred
+words), and the documents are read once; more are taken in blocks, and the documents read once a block. A document
 is one row in one task, whatever its length; documents are not shuffled.
 
 Defined results: one row per (document, item), however often it is found and however often a document or item
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -53,9 +54,9 @@ def shingle_hash(a: str, b: str) -> int:
 
 
 def _votes(hashes: np.ndarray) -> np.ndarray:
-    """(n, 64) of +1 and -1."""
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return bits.astype(np.int16) * 2 - 1
+    """(..., 64) of +1 and -1."""
+    bits = np.unpackbits(np.ascontiguousarray(hashes, "<u8").view(np.uint8).reshape(*hashes.shape, 8), axis=-1, bitorder="little")
+    return bits.astype(np.int8) * 2 - 1
 
 
 def simhash(votes: np.ndarray) -> np.ndarray:
@@ -70,25 +71,28 @@ class Index:
         self.size, self.chars, self.radius, self.similarity = size, chars, radius, similarity
         self.vocabulary: dict[str, int] = {}  # unit -> 1, 2, ...
         rows, owners = [], []
+        self.items: list[object] = []
         for item, passage in items:
-            ids = [self.vocabulary.setdefault(u, len(self.vocabulary) + 1) for u in units(passage, chars)]
-            for a in range(len(ids) - size + 1):
-                rows.append(ids[a : a + size])
-                owners.append(item)
-        self.rows = np.array(rows, np.int64).reshape(-1, size)
-        self.owners = np.array(owners, dtype=object)
+            ids = np.array([self.vocabulary.setdefault(u, len(self.vocabulary) + 1) for u in units(passage, chars)], np.int32)
+            if len(ids) >= size:
+                rows.append(np.lib.stride_tricks.sliding_window_view(ids, size).ravel())
+                owners += [len(self.items)] * (len(ids) - size + 1)
+                self.items.append(item)
+        self.rows = np.concatenate(rows).reshape(-1, size) if rows else np.zeros((0, size), np.int32)
+        self.owners = np.array(owners, np.int32)
         self.base = len(self.vocabulary) + 1
-        pairs = self.rows[:, :-1] * self.base + self.rows[:, 1:]
+        pairs = self.rows[:, :-1].astype(np.int64) * self.base + self.rows[:, 1:]
         self.pairs = np.unique(pairs)
         names = [""] + list(self.vocabulary)
-        self.votes = _votes(np.array([shingle_hash(names[p // self.base], names[p % self.base]) for p in self.pairs.tolist()], np.uint64)) if len(self.pairs) else np.zeros((0, BITS), np.int16)
-        self.prints = np.concatenate([simhash(self.votes[np.searchsorted(self.pairs, pairs[a : a + 4096])]) for a in range(0, len(pairs), 4096)]) if len(pairs) else np.zeros(0, np.uint64)
+        self.hashes = np.array([shingle_hash(names[p // self.base], names[p % self.base]) for p in self.pairs.tolist()], np.uint64)
+        self.prints = np.concatenate([simhash(_votes(self.hashes[np.searchsorted(self.pairs, pairs[a : a + 4096])])) for a in range(0, len(pairs), 4096)]) if len(pairs) else np.zeros(0, np.uint64)
         edges = np.linspace(0, BITS, radius + 2).astype(int)
         self.blocks = []
         for lo, hi in zip(edges[:-1], edges[1:]):
             v = self._block(self.prints, lo, hi)
             order = np.argsort(v, kind="stable")
-            self.blocks.append((lo, hi, v[order], order))
+            # 16 bits a block at radius 3: the values of a block take as little room as their width allows
+            self.blocks.append((lo, hi, v[order].astype(np.uint16 if hi - lo <= 16 else np.uint64), order.astype(np.int32)))
         #: of a window's shingles, so many must be known for the similarity to be reached
         shingles = size - 1
         self.enough = int(np.ceil(2 * shingles * similarity / (1 + similarity) - 1e-9))
@@ -122,19 +126,20 @@ class Index:
         for a in range(0, len(starts), 4096):
             s = starts[a : a + 4096]
             grid = place[s[:, None] + np.arange(self.size - 1)]
-            votes = self.votes[grid]
+            hashes = self.hashes[grid]
             for i, j in zip(*np.nonzero(grid < 0)):
-                votes[i, j] = _votes(np.array([shingle_hash(unit_of(s[i] + j), unit_of(s[i] + j + 1))], np.uint64))[0]
-            prints = simhash(votes)
+                hashes[i, j] = shingle_hash(unit_of(s[i] + j), unit_of(s[i] + j + 1))
+            prints = simhash(_votes(hashes))
             for w, c in self._candidates(prints):
                 if self._verified(ids[s[w] : s[w] + self.size], c, grid[w]):
-                    hits.add((int(doc[s[w]]), self.owners[c]))
+                    hits.add((int(doc[s[w]]), self.items[self.owners[c]]))
         return list(hits)
 
     def _candidates(self, prints: np.ndarray) -> Iterator[tuple[int, int]]:
         """(window, item window) within the radius; each once."""
         for n, (lo, hi, values, order) in enumerate(self.blocks):
             v = self._block(prints, lo, hi)
+            v = v.astype(values.dtype)
             a, z = np.searchsorted(values, v, "left"), np.searchsorted(values, v, "right")
             w = np.repeat(np.arange(len(v)), z - a)
             c = order[np.arange(len(w)) - np.repeat(np.cumsum(z - a) - (z - a), z - a) + np.repeat(a, z - a)]
@@ -147,9 +152,8 @@ class Index:
     def _verified(self, window: np.ndarray, c: int, shingles: np.ndarray) -> bool:
         if self.similarity >= 1:
             return bool((window == self.rows[c]).all())
-        theirs = np.searchsorted(self.pairs, self.rows[c, :-1] * self.base + self.rows[c, 1:])
-        both = np.bincount(shingles[shingles >= 0], minlength=len(self.pairs)), np.bincount(theirs, minlength=len(self.pairs))
-        shared = np.minimum(*both).sum()
+        theirs = np.searchsorted(self.pairs, self.rows[c, :-1].astype(np.int64) * self.base + self.rows[c, 1:])
+        shared = sum((Counter(shingles[shingles >= 0].tolist()) & Counter(theirs.tolist())).values())
         return shared / (2 * (self.size - 1) - shared) >= self.similarity
 
     def _read(self, texts: list[str]):
@@ -181,10 +185,11 @@ def _alnum() -> np.ndarray:
     return _TABLE[0]
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", lang: str = "lang", words: int = 8, chars: int = 20, char_langs: tuple[str, ...] = ("zh", "ja"), radius: int = 3, similarity: float = 1.0, block_items: int = 5_000, characters: int = 2_000_000) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", lang: str = "lang", words: int = 8, chars: int = 20, char_langs: tuple[str, ...] = ("zh", "ja"), radius: int = 3, similarity: float = 1.0, block_items: int = 20_000, characters: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id) of all documents that hold a window of an item's passage."""
     q = items.where(F.col(item_id).isNotNull() & F.col(passage).isNotNull()).select(F.col(item_id).alias("i"), F.col(passage).alias("p"), F.coalesce(F.col(lang).isin(*char_langs), F.lit(False)).alias("c"))
-    blocks = max(1, -(-q.count() // block_items) * 2) if q.count() > block_items else 1
+    n = q.count()
+    blocks = 2 * -(-n // block_items) if n > block_items else 1  # twice as many, as hashed blocks are not of one size
     spark = docs.sparkSession
     base = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(doc_id, text)
     schema = f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, `{item_id}` {items.schema[item_id].dataType.simpleString()}"
