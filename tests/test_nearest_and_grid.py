@@ -87,6 +87,20 @@ def test_missing_slots(spark, monkeypatch, piece):
     assert set(got) == {(k, s * 300 * S) for k, v in slots.items() for s in range(min(v), max(v) + 1)}
 
 
+def test_a_gap_of_decades_is_spread_over_tasks(spark):
+    """One reading sent with a wrong year: its empty cells are made piece by piece, in many tasks."""
+    from pyspark.sql import functions as F
+
+    years = 54 * 365 * 86_400 * S
+    df = spark.createDataFrame([("a", "1h", 0, 1.0, 1), ("a", "1h", years, 2.0, 1)], "k string, timeframe string, t_us long, value double, version long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = G.missing_slots(G.regular_grid(df, ["k", "timeframe"])).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["count"] for r in got) == 54 * 365 * 24 - 1 and len(got) == 4 and max(r["count"] for r in got) < 54 * 365 * 24 // 2
+
+
 def test_points_of_series(spark):
     import datetime as dt
 

@@ -8,7 +8,7 @@ import pytest
 from tickloom.operators.timestamps import is_plain, normalize_timestamps
 from pyspark.sql import functions as F
 
-FEEDS = [("ber", "Europe/Berlin", "dmy"), ("nyc", "America/New_York", "mdy"), ("utc", "UTC", "ymd"), ("kol", "Asia/Kolkata", "dmy"), ("syd", "Australia/Sydney", "dmy"), ("two", "Europe/Berlin", "dmy"), ("two", "Asia/Tokyo", "dmy"), ("odd", "No/Where", "dmy"), (None, "UTC", "ymd")]
+FEEDS = [("ber", "Europe/Berlin", "dmy"), ("nyc", "America/New_York", "mdy"), ("utc", "UTC", "ymd"), ("kol", "Asia/Kolkata", "dmy"), ("syd", "Australia/Sydney", "dmy"), ("two", "Europe/Berlin", "dmy"), ("two", "Asia/Tokyo", "dmy"), ("odd", "No/Where", "dmy"), ("par", "Europe/Paris", "dmy"), ("lax", "America/Los_Angeles", "mdy"), ("mos", "Europe/Moscow", "dmy"), (None, "UTC", "ymd")]
 
 
 def us(*a):
@@ -38,6 +38,18 @@ CASES = [
     ("ber", "2024-10-27 02:30:00 CET", us(2024, 10, 27, 1, 30), "ok"),
     ("kol", "2024-10-27 02:30:00 IST", us(2024, 10, 26, 21), "ok"),
     ("ber", "2024-10-27 02:30:00 XYZ", -1, "invalid"),
+    # abbreviations come from the rules of each zone, and may have meant several offsets
+    ("par", "2024-01-15 10:00:00 CET", us(2024, 1, 15, 9), "ok"),
+    ("par", "2024-07-15 10:00:00 CEST", us(2024, 7, 15, 8), "ok"),
+    ("lax", "2024-01-15 10:00:00 PST", us(2024, 1, 15, 18), "ok"),
+    ("lax", "2024-11-03 01:30:00 PDT", us(2024, 11, 3, 8, 30), "ok"),
+    ("lax", "2024-01-15 10:00:00 CET", -1, "invalid"),
+    ("mos", "2024-01-15 10:00:00 MSK", us(2024, 1, 15, 7), "ok"),
+    ("mos", "2012-01-15 10:00:00 MSK", us(2012, 1, 15, 6), "ok"),
+    ("mos", "2024-01-15 10:00:00 MSD", us(2024, 1, 15, 6), "ok"),
+    ("mos", "2024-01-15 10:00:00 UTC", us(2024, 1, 15, 10), "ok"),
+    ("ber", "86399999", -1, "invalid"),
+    ("ber", "-1705276800", -1, "invalid"),
     # orders of day and month
     ("ber", "03.02.2024 04:05", us(2024, 2, 3, 3, 5), "ok"),
     ("nyc", "02/03/2024 04:05", us(2024, 2, 3, 9, 5), "ok"),

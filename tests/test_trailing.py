@@ -79,6 +79,12 @@ def test_corrections_touch_ancestors_only(spark):
     assert {(r.k, r.day): (r.sum_7, r.n_7, r.sum_30, r.n_30) for r in got} == want
 
 
-def test_period_longer_than_a_shard(spark):
+@pytest.mark.parametrize("periods", [(65,), (90, 7), (365, 30)])
+def test_longer_periods_take_larger_shards(spark, periods):
+    rnd = random.Random(6)
+    rows = [("a", (19_700 + rnd.randrange(1200)) * DAY + i, round(rnd.uniform(-5, 99), 2), i) for i in range(120)]
+    rows += [("b", (19_700 + d) * DAY, 1.0, 1) for d in (0, 64, 65, 511, 512, 900)]
+    assert run(spark, rows, periods) == brute(rows, periods)
+    trees = T.build_trees(T.daily(spark.createDataFrame(rows, "k string, t long, v double, r long"), ["k"], "t", "v", ["r"]), ["k"])
     with pytest.raises(ValueError):
-        run(spark, [("a", 1, 1.0, 1)], (65,))
+        T.query_trees(trees, ["k"], periods)

@@ -7,7 +7,8 @@ reading gets the number of its readings, the time-weighted average of what held
 in it, and the fraction of it that is covered.
 
 A source is cut into pieces of ``PIECE`` cells, so that no task holds a whole
-source; the edges of the pieces are joined by ``lead_across``.
+source; the edges of the pieces are joined by ``lead_across``. A gap is cut into pieces too, which are spread over tasks before
+their cells are made: a reading centuries away is no row of millions of cells.
 
 Defined results: null or -1 instants, null values and timeframes that are none take no part;
 a NaN value is a reading, but gives no average; of readings at one instant the
@@ -41,12 +42,17 @@ def regular_grid(readings: DataFrame, keys: list[str], timeframe: str = "timefra
     step, t, nxt = F.col("__step"), F.col("t_us"), F.col("__next")
     until = F.least(nxt, t + step * hold)
     last = F.coalesce(F.greatest(F.col("__slot"), floor_div(nxt - 1, step)), F.col("__slot"))
-    cells = r.select(*keys, "__step", "__slot", t, "value", until.alias("__until"), F.explode(F.sequence("__slot", last)).alias("__cell"))
+    r = r.select(*keys, "__step", "__slot", t, "value", until.alias("__until"), last.alias("__last"))
+    r = r.withColumn("__piece", F.explode(F.sequence(floor_div(F.col("__slot"), PIECE), floor_div(F.col("__last"), PIECE))))
+    # the cells of a piece are made where they are summed: the exchange by piece serves the grouping by cell too
+    begin = F.col("__piece") * PIECE
+    inside = F.sequence(F.greatest(F.col("__slot"), begin), F.least(F.col("__last"), begin + PIECE - 1))
+    cells = r.repartition(*keys, "__piece").withColumn("__cell", F.explode(inside))
     # the last reading of a source holds for its own cell
     end = F.coalesce(F.col("__until"), (F.col("__slot") + 1) * step)
     held = F.greatest(F.lit(0), F.least(end, (F.col("__cell") + 1) * step) - F.greatest(t, F.col("__cell") * step))
-    cells = cells.select(*keys, "__step", "__cell", (F.col("__cell") == F.col("__slot")).cast("long").alias("__own"), held.alias("__held"), "value")
-    g = cells.groupBy(*keys, "__step", "__cell").agg(F.sum("__own").alias("n_readings"), F.sum("__held").alias("__h"), F.sum(F.col("value") * F.col("__held")).alias("__vh"))
+    cells = cells.select(*keys, "__step", "__piece", "__cell", (F.col("__cell") == F.col("__slot")).cast("long").alias("__own"), held.alias("__held"), "value")
+    g = cells.groupBy(*keys, "__step", "__piece", "__cell").agg(F.sum("__own").alias("n_readings"), F.sum("__held").alias("__h"), F.sum(F.col("value") * F.col("__held")).alias("__vh"))
     avg = F.when(F.col("__h") > 0, F.col("__vh") / F.col("__h"))
     return g.select(*keys, (F.col("__cell") * step).alias("slot_us"), "n_readings", F.when(~F.isnan(avg), avg).alias("avg"), (F.col("__h") / step).alias("coverage"))
 

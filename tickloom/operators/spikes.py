@@ -20,7 +20,7 @@ numbered within a day, and the counts of the days before are added. The model ru
 Defined results: a null or NaN reading is no reading and never flagged; repeated rows each count;
 rows without an instant (null or -1) are placed by ``fallback_us``, and only hard bounds are
 checked if that is null too (such rows are no neighbours of others); ties in time are ordered by record id; zeros of
-a ``level`` are no spikes; empty frames give empty results; extra columns are ignored.
+a ``level`` are no spikes; a null source column is a value like any other; empty frames give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -267,7 +267,7 @@ def flag_implausible(df: DataFrame, keys: list[str], at_us: str, record_id: str,
     t = F.coalesce(F.when(F.col(at_us) != -1, F.col(at_us)), F.col(fallback_us))
     rows = df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], t.alias("__t"), F.col(record_id).alias("__id"), *[F.col(c).cast("double").alias(c) for c in needed])
     timed = F.col("__t").isNotNull()
-    rows = rows.select(F.xxhash64(*[f"__k{i}" for i in range(len(keys))], timed).alias("__s"), timed.alias("__timed"), F.coalesce("__t", F.lit(0).cast("long")).alias("__t"), "__id", *needed)
+    rows = rows.select(F.xxhash64(*[c for i in range(len(keys)) for c in (F.col(f"__k{i}"), F.col(f"__k{i}").isNull())], timed).alias("__s"), timed.alias("__timed"), F.coalesce("__t", F.lit(0).cast("long")).alias("__t"), "__id", *needed)
     rows = cut_in_pieces(rows)
     rows = rows.select(F.xxhash64("__s", "__piece").alias("__gid"), "__t", "__id", (F.col("__home") == F.col("__piece")).alias("__own"), "__timed", *needed)
     rows = rows.repartition("__gid").sortWithinPartitions("__gid", "__t", "__id").drop("__t")

@@ -16,14 +16,17 @@ White space around the text counts for nothing, letter case neither. Text with a
 offset keeps it; a bracketed zone name holds for the text; an abbreviation is
 that of the source's zone; other wall-clock text is in the source's zone; a
 source that is missing from the lookup, or has several zones there, has none, and its wall-clock
-text is ``invalid``. Abbreviations are known only for the zones in ``ABBREVIATIONS``, those of the test
-feeds; of any other zone (PST, MSK) they are ``invalid``, but for UTC and GMT. An empty frame gives an empty frame. All other columns
+text is ``invalid``. The abbreviations of a zone are those its rules have named since 1970; one that stood for several
+offsets (MSK) has the one in force at the wall time, or is ``invalid``; so is one that its zone never had, but for UTC and GMT. Numbers
+of fewer than nine or more than 19 digits are no time. An empty frame gives an empty frame. All other columns
 pass through; existing columns of the output names are replaced.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import datetime as dt
+import zoneinfo
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,16 +41,6 @@ _DOW = "(" + "|".join(WEEKDAYS) + ")"
 _HMS = r"(\d{2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?"
 _OFF = r"(z|[+-]\d{2}(?::?\d{2})?)"
 
-#: Abbreviations a zone uses on its clocks, with their offset in minutes.
-ABBREVIATIONS = {
-    "Europe/Berlin": {"cet": 60, "cest": 120},
-    "Europe/London": {"gmt": 0, "bst": 60},
-    "America/New_York": {"est": -300, "edt": -240},
-    "America/Chicago": {"cst": -360, "cdt": -300},
-    "Australia/Sydney": {"aest": 600, "aedt": 660},
-    "Asia/Kolkata": {"ist": 330},
-    "Asia/Tokyo": {"jst": 540},
-}
 #: These mean the same in any zone.
 UNIVERSAL = {"utc": 0, "gmt": 0}
 
@@ -82,6 +75,23 @@ def _local(u: Column, zone: Column) -> Column:
     return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(u), zone))
 
 
+@lru_cache(maxsize=1024)
+def abbreviations(zone: str) -> dict[str, tuple[int, ...]]:
+    """The abbreviations on a zone's clocks since 1970, in small letters, with their offsets in minutes."""
+    try:
+        tz = zoneinfo.ZoneInfo(zone)
+    except (zoneinfo.ZoneInfoNotFoundError, ValueError):
+        return {}
+    out: dict[str, set[int]] = {}
+    for year in range(1970, dt.datetime.now().year + 2):
+        for month in range(1, 13):
+            t = dt.datetime(year, month, 15, 12, tzinfo=dt.timezone.utc).astimezone(tz)
+            name, offset = t.tzname() or "", t.utcoffset()
+            if name.isalpha() and not offset.total_seconds() % 60:
+                out.setdefault(name.lower(), set()).add(int(offset.total_seconds()) // 60)
+    return {name: tuple(sorted(o)) for name, o in out.items()}
+
+
 def _known_zones(df: DataFrame) -> str:
     """The names of all zones as an SQL list."""
     return ", ".join(f"'{z}'" for z in sorted(df.sparkSession._jvm.java.time.ZoneId.getAvailableZoneIds()))
@@ -93,6 +103,8 @@ def normalize_timestamps(df: DataFrame, feeds: DataFrame, text: str = "timestamp
     lookup = feeds.where(F.col(source).isNotNull()).groupBy(F.col(source).alias("__src")).agg(one(zone).alias("__zone"), one(day_order).alias("__order"))
     zones = _known_zones(df)
     lookup = lookup.withColumn("__zone", F.expr(f"CASE WHEN __zone IN ({zones}) THEN __zone END"))
+    # no more than there are zones
+    used = [r[0] for r in lookup.select("__zone").where(F.col("__zone").isNotNull()).distinct().collect()]
     base = df.drop(out, status)
     names = base.columns
     base = base.join(bounded_broadcast(lookup, max_feeds), base[source] == F.col("__src"), "left").drop("__src")
@@ -144,14 +156,16 @@ def normalize_timestamps(df: DataFrame, feeds: DataFrame, text: str = "timestamp
         z.rlike(r"^[+-]"),
         F.when(F.substring(z, 2, 2).cast("int") <= 18, F.when(F.left(z, F.lit(1)) == "-", -1).otherwise(1) * (F.substring(z, 2, 2).cast("int") * 60 + F.coalesce(F.when(F.length(z) > 3, F.right(z, F.lit(2))).cast("int"), F.lit(0)))),
     )
-    abbreviations = F.create_map(*[F.lit(x) for zn, m in ABBREVIATIONS.items() for ab, o in m.items() for x in (f"{zn} {ab}", o)])
-    universal = F.create_map(*[F.lit(x) for p in UNIVERSAL.items() for x in p])
-    abbr_min = F.when(z.rlike(r"^[a-z]{2,}$"), F.coalesce(abbreviations[F.concat(F.col("__zone"), F.lit(" "), z)], universal[z]))
+    named = {f"{zn} {ab}": o for zn in used for ab, o in abbreviations(zn).items()}
+    named |= {f" {ab}": (o,) for ab, o in UNIVERSAL.items()}
+    by_name = F.create_map(*[c for n, o in named.items() for c in (F.lit(n), F.array(*map(F.lit, o)))])
+    abbr = F.when(z.rlike(r"^[a-z]{2,}$"), F.coalesce(by_name[F.concat(F.col("__zone"), F.lit(" "), z)], by_name[F.concat(F.lit(" "), z)]))
     has_zone_text = F.coalesce(z != "", F.lit(False))
     s = s.withColumns({
         "__wall": F.when(dow_ok, days * DAY + clock),
-        "__off": F.coalesce(off_min, abbr_min).cast("long") * MINUTE,
-        "__tz": F.when(~has_zone_text, F.when(F.col("__named").isNull(), F.col("__zone")).otherwise(F.expr(f"CASE WHEN __named IN ({zones}) THEN __named END"))),
+        "__off": F.coalesce(off_min, F.when(F.size(abbr) == 1, abbr[0])).cast("long") * MINUTE,
+        "__several": F.when(F.size(abbr) > 1, abbr),
+        "__tz": F.when(F.size(abbr) > 1, F.col("__zone")).when(~has_zone_text, F.when(F.col("__named").isNull(), F.col("__zone")).otherwise(F.expr(f"CASE WHEN __named IN ({zones}) THEN __named END"))),
     })
     wall, tz = F.col("__wall"), F.col("__tz")
     # one offset holds a day before, one a day after: the wall time exists under each of them or not
@@ -162,6 +176,7 @@ def normalize_timestamps(df: DataFrame, feeds: DataFrame, text: str = "timestamp
     s = s.withColumns({"__ok1": F.when(u1.isNotNull(), _local(u1, tz) == wall), "__ok2": F.when(u2.isNotNull(), F.when(u1 == u2, False).otherwise(_local(u2, tz) == wall))})
     ok1, ok2 = F.col("__ok1"), F.col("__ok2")
 
+    in_force = lambda u: F.coalesce(F.array_contains(F.col("__several"), ((wall - u) / MINUTE).cast("int")), F.lit(False))
     whole = F.regexp_extract(t, r"^\d+", 0)
     digits = F.length(whole)
     places = F.when(digits <= 10, 6).when(digits <= 13, 3).when(digits <= 16, 0).otherwise(-3)
@@ -177,12 +192,13 @@ def normalize_timestamps(df: DataFrame, feeds: DataFrame, text: str = "timestamp
         "__u",
         F.when(F.col("__plain"), plain)
         .when(kind.isNull(), number)
+        .when(F.col("__several").isNotNull(), F.when(ok1 & in_force(u1), u1).when(ok2 & in_force(u2), u2))
         .when(has_zone_text, wall - F.col("__off"))
         .when(ok1 & ~ok2, u1)
         .when(ok2 & ~ok1, u2),
     )
     u = F.col("__u")
-    state = F.when(raw.isNull(), "null").when(u.isNotNull(), "ok").when(ok1 & ok2, "ambiguous").when(~ok1 & ~ok2, "nonexistent").otherwise("invalid")
+    state = F.when(raw.isNull(), "null").when(u.isNotNull(), "ok").when(F.col("__several").isNotNull(), "invalid").when(ok1 & ok2, "ambiguous").when(~ok1 & ~ok2, "nonexistent").otherwise("invalid")
     instant = F.when(raw.isNotNull(), F.coalesce(u, F.lit(-1).cast("long")))
     # a generator: later filters on the instant would else be pushed down through the cascade, which copies it
     return s.select(*names, F.inline(F.array(F.struct(instant.alias(out), state.alias(status)))))

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from tickloom.operators.timestamps import ABBREVIATIONS
-
-_ABBR = " ".join(f"WHEN zone = '{z}' AND upper(p.z) = '{a.upper()}' THEN {o}" for z, m in ABBREVIATIONS.items() for a, o in m.items())
+#: The abbreviations of the zones of the feeds, with their offsets in minutes.
+ABBREVIATIONS = {
+    "Europe/Berlin": {"CET": 60, "CEST": 120},
+    "Europe/London": {"GMT": 0, "BST": 60},
+    "America/New_York": {"EST": -300, "EDT": -240},
+    "America/Chicago": {"CST": -360, "CDT": -300},
+    "Australia/Sydney": {"AEST": 600, "AEDT": 660},
+    "Asia/Kolkata": {"IST": 330},
+    "Asia/Tokyo": {"JST": 540},
+}
+_ABBR = " ".join(f"WHEN zone = '{z}' AND upper(p.z) = '{a}' THEN {o}" for z, m in ABBREVIATIONS.items() for a, o in m.items())
 _LOCAL = "(epoch_us(timezone(tz, make_timestamptz({0}))) - ({0}))"
 
 #: Each bar's instant: null, -1 or microseconds. ICU's zone rules decide about wall times.
