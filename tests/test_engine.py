@@ -288,13 +288,33 @@ def test_keys_cut_into_pieces(spark):
     named = {f"v{i}": t for i, t in enumerate(BOUNDED)}
     rounded = lambda d: sorted(tuple(round(x, 8) if isinstance(x, float) else x for x in r) for r in d.select("symbol", F.col("ts").cast("string"), *[F.coalesce(F.col(n).cast("double"), F.lit(-9e9)) for n in named]).collect())
     assert rounded(evaluate_split(df, 80, **named)) == rounded(evaluate(df, **named))
-    for text in ("ema(3)", "obv()", "close.sum()", "swing_lows(2, 2)"):
+    for text in ("psar()", "obv()", "close.sum()", "swing_lows(2, 2)", "supertrend(3)", "ema(obv(), 3)"):
         with pytest.raises(ExpressionError):
             evaluate_split(df, 80, v=text)
     with pytest.raises(ValueError):
         evaluate_split(df, 5, v="sma(close, 9)")
 
 
+FORGETTING = ["ema(3)", "rma(2)", "macd(2, 4, 3).histogram", "rsi(3)", "atr(3)", "adx(2).adx", "keltner(3, 2).upper", "klinger(2, 4, 3).signal", "elder_ray(3).bull", "sma(ema(3), 4) - rsi(2).ago('2h')"]
+
+
+def test_recurrences_of_one_key_in_pieces(spark):
+    """One key, cut into pieces that run in many tasks, gives what the whole key gives."""
+    rnd = random.Random(9)
+    c = [rnd.uniform(10, 20) for _ in range(3000)]
+    df = frame(spark, c, [x + rnd.random() for x in c], [x - rnd.random() for x in c], [rnd.uniform(1, 5) for _ in c])
+    named = {f"v{i}": t for i, t in enumerate(FORGETTING)}
+    split, whole = (sorted([tuple(r) for r in d.select(F.col("ts").cast("string"), *named).collect()]) for d in (evaluate_split(df, 500, **named), evaluate(df, **named)))
+    assert len(split) == len(whole) == 3000
+    for a, b in zip(split, whole):
+        assert a[0] == b[0] and [x is None for x in a] == [x is None for x in b]
+        assert [x or 0.0 for x in a[1:]] == pytest.approx([x or 0.0 for x in b[1:]], rel=1e-10, abs=1e-10)
+    pieces = evaluate_split(df, 500, v="ema(3)").withColumn("task", F.spark_partition_id())
+    assert pieces.select("task").distinct().count() > 1
+    with pytest.raises(ValueError):
+        evaluate_split(df, 80, v="ema(20)")
+
+
 # registry
 
 

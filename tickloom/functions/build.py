@@ -138,12 +138,12 @@ class Build:
                     begins[1:] |= c[1:] != c[:-1]
                 key = [c[-1] for c in columns]
                 fresh = np.flatnonzero(begins).tolist()
-                lists: dict[str, list] = {}
+                arrays: dict[str, np.ndarray] = {}
                 for n, (kernel, inputs, names) in enumerate(jobs):
                     for c in inputs:
-                        if c not in lists:
-                            lists[c] = [None if x is None or x != x else x for x in pdf[c].tolist()]
-                    states[n], results = kernel.run(states[n], [lists[c] for c in inputs], len(pdf), fresh)
+                        if c not in arrays:
+                            arrays[c] = pdf[c].to_numpy(float, na_value=np.nan)
+                    states[n], results = kernel.run(states[n], [arrays[c] for c in inputs], len(pdf), fresh)
                     for name, values in zip(names, results):
                         pdf[name] = pd.Series(values, dtype="float64", index=pdf.index)
                 yield pdf

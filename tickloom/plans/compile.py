@@ -105,14 +105,15 @@ def evaluate_split(df: DataFrame, piece_rows: int = 1_000_000, **named: str) ->
     """As ``evaluate``, for keys too large for one task: they are cut into pieces of ``piece_rows`` rows.
 
     Each piece brings along as many rows of its neighbours as the expressions look
-    back (or ahead). Only for expressions with a bounded number of rows: what is cumulative or recursive needs
-    all of its past.
+    back (or ahead). Means that forget (ema, rma, macd, rsi, atr, adx, keltner, klinger, elder_ray) bring along as many as they remember: what
+    lies further back weighs less than 2^-60 of its value, so the results are those of the whole key but for the last bits. Rows whose inputs are
+    null are no memory; a piece needs that many others. What is cumulative, or does not forget (psar, supertrend, Fibonacci legs), needs all of its past.
     """
     plans = {k: plan(t) for k, t in named.items()}
     for k, p in plans.items():
-        if not p.bounded:
+        if p.memory is None:
             raise ExpressionError(f"{named[k]!r} needs all rows before")
-    margin = max([1, *[n for p in plans.values() for n in p.lookback.values()]])
+    margin = max([1, *[p.memory for p in plans.values()], *[n for p in plans.values() for n in p.lookback.values()]])
     if piece_rows < margin:
         raise ValueError(f"a piece must have at least {margin} rows")
     rows = numbered(df)
