@@ -88,8 +88,10 @@ class BarSet:
         return self.bars.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-def append(df: DataFrame, new: DataFrame) -> DataFrame:
-    """Both, by name."""
+def append(df: DataFrame, new: DataFrame, check: bool = False) -> DataFrame:
+    """Both, by name. With ``check``, ``new`` is looked through first, and a ValueError says why it may not be appended."""
+    if check and (wrong := append_problems(df, new).limit(5).collect()):
+        raise ValueError("; ".join(f"{'|'.join(str(r[k]) for k in KEYS)}: {r.n} rows {r.problem}" for r in wrong))
     return df.unionByName(new, allowMissingColumns=True)
 
 
@@ -191,17 +193,21 @@ def sync(series: DataFrame, reference: DataFrame, value: str = "value", how: str
     return out.where("__side = 1").withColumn(value, prev).drop("__v", "__side", "__p", "__first", "__n")
 
 
-def align(left: DataFrame, right: DataFrame, how: str = "inner", fill: str = "none", seed_left: float | None = None, seed_right: float | None = None, value: str = "value") -> DataFrame:
-    """Two series on common instants as ``left`` and ``right``; ``ffill`` closes gaps with the last value, then the seed."""
+def align(left: DataFrame, right: DataFrame, how: str = "inner", fill: str = "none", seed_left: float | None = None, seed_right: float | None = None, value: str = "value", strict: bool = False) -> DataFrame:
+    """Two series on common instants as ``left`` and ``right``; ``ffill`` closes gaps with the last value, then the seed.
+
+    What is still missing is null; with ``strict`` it is an error when the rows are computed.
+    """
     if how not in ("inner", "outer", "left", "right") or fill not in ("none", "ffill"):
         raise ValueError(f"unknown alignment {how!r} or fill {fill!r}")
     on = ["symbol", "timeframe", "ts"]
     j = left.select(*on, F.col(value).alias("left")).join(right.select(*on, F.col(value).alias("right")), on, how)
+    whole = lambda c: F.coalesce(c, F.raise_error(F.concat(F.lit("no value at "), F.col("ts").cast("string"))).cast("double")) if strict else F.col(c)
     if fill == "none":
-        return j
+        return j.withColumns({c: whole(c) for c in ("left", "right")})
     w = Window.partitionBy("symbol", "timeframe").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     filled = lambda c, seed: F.coalesce(F.last(c, ignorenulls=True).over(w), F.lit(seed).cast("double"))
-    return j.withColumns({"left": filled("left", seed_left), "right": filled("right", seed_right)})
+    return j.withColumns({"left": filled("left", seed_left), "right": filled("right", seed_right)}).withColumns({c: whole(c) for c in ("left", "right")})
 
 
 def ref(bars: DataFrame, timeframe: str, name: str, reference: DataFrame, value: str = "value") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,33 +122,36 @@ class Build:
         keys, order_by = self.keys, self.order
         fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in self.df.schema]
         outs = [f"`{o}` {t}" for k, _, names in jobs for o, t in zip(names, k.types)]
+        names = [o for _, _, outputs in jobs for o in outputs]
         # sorted rows of whole keys follow each other: many small keys share a batch
         rows = self.df.repartition(*keys).sortWithinPartitions(*keys, *order_by)
 
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key: list | None = None
             states: list = [None] * len(jobs)
-            for pdf in parts:
-                if not len(pdf):
+            for batch in parts:
+                size = batch.num_rows
+                if not size:
                     continue
-                columns = [pdf[k].to_numpy(object) for k in keys]
-                begins = np.zeros(len(pdf), bool)
+                columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+                begins = np.zeros(size, bool)
                 begins[0] = key != [c[0] for c in columns]
                 for c in columns:
                     begins[1:] |= c[1:] != c[:-1]
                 key = [c[-1] for c in columns]
                 fresh = np.flatnonzero(begins).tolist()
                 arrays: dict[str, np.ndarray] = {}
-                for n, (kernel, inputs, names) in enumerate(jobs):
+                added: list[pa.Array] = []
+                for n, (kernel, inputs, _) in enumerate(jobs):
                     for c in inputs:
                         if c not in arrays:
-                            arrays[c] = pdf[c].to_numpy(float, na_value=np.nan)
-                    states[n], results = kernel.run(states[n], [arrays[c] for c in inputs], len(pdf), fresh)
-                    for name, values in zip(names, results):
-                        pdf[name] = pd.Series(values, dtype="float64", index=pdf.index)
-                yield pdf
+                            arrays[c] = batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False)
+                    states[n], results = kernel.run(states[n], [arrays[c] for c in inputs], size, fresh)
+                    added += [pa.array(np.array(v, float), from_pandas=True) for v in results]
+                # the other columns pass as they are
+                yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *names])
 
-        self.df = rows.mapInPandas(run, ", ".join(fields + outs))
+        self.df = rows.mapInArrow(run, ", ".join(fields + outs))
 
     def done(self, **outputs: Column) -> DataFrame:
         """The input's columns and the outputs."""

@@ -101,7 +101,7 @@ def numbered(df: DataFrame) -> DataFrame:
     return day.join(counts, [*KEYS, "__day"]).withColumn("__rn", F.row_number().over(within) + F.col("__before")).select(*df.columns, "__rn")
 
 
-def evaluate_split(df: DataFrame, piece_rows: int = 1_000_000, **named: str) -> DataFrame:
+def evaluate_split(df: DataFrame, piece_rows: int = 1_000_000, timeframe: str | None = None, **named: str) -> DataFrame:
     """As ``evaluate``, for keys too large for one task: they are cut into pieces of ``piece_rows`` rows.
 
     Each piece brings along as many rows of its neighbours as the expressions look
@@ -109,7 +109,7 @@ def evaluate_split(df: DataFrame, piece_rows: int = 1_000_000, **named: str) ->
     lies further back weighs less than 2^-60 of its value, so the results are those of the whole key but for the last bits. Rows whose inputs are
     null are no memory; a piece needs that many others. What is cumulative, or does not forget (psar, supertrend, Fibonacci legs), needs all of its past.
     """
-    plans = {k: plan(t) for k, t in named.items()}
+    plans = {k: plan(t, timeframe) for k, t in named.items()}
     for k, p in plans.items():
         if p.memory is None:
             raise ExpressionError(f"{named[k]!r} needs all rows before")
@@ -129,14 +129,14 @@ def _finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
 
 
-def evaluate(data: DataFrame | BarSet, *expressions: str, **named: str) -> DataFrame:
+def evaluate(data: DataFrame | BarSet, *expressions: str, timeframe: str | None = None, **named: str) -> DataFrame:
     """The frame with one column per expression (``value``, or ``value1 value2 ...``, or the names given).
 
     All expressions are lowered together: they share the exchange, the
-    sort, equal parts, and the pass of their scans.
+    sort, equal parts, and the pass of their scans. With a ``timeframe``, that of the bars, durations such as ``24h`` are counted in it.
     """
     texts = named | ({"value": expressions[0]} if len(expressions) == 1 else {f"value{i}": t for i, t in enumerate(expressions, 1)})
-    plans = {k: plan(t) for k, t in texts.items()}
+    plans = {k: plan(t, timeframe) for k, t in texts.items()}
     df = data.wide() if isinstance(data, BarSet) else data
     b = Build(df)
     columns = {k: _lower(b, p.root) for k, p in plans.items()}

@@ -74,4 +74,10 @@ SELECT tbl, record_id, CASE WHEN t1 IS NULL OR t - t0 <= t1 - t THEN b0 ELSE b1
 s AS (SELECT DISTINCT field, {_SRC}, t // ({_TF}) AS slot, {_TF} AS step FROM a),
 g AS (SELECT *, lead(slot) OVER (PARTITION BY field, {_SRC} ORDER BY slot) AS nxt FROM s)
 SELECT field, {_SRC}, CAST(x * step AS BIGINT) AS slot_us FROM (SELECT field, {_SRC}, step, unnest(range(slot + 1, nxt)) AS x FROM g WHERE nxt > slot + 1)""",
+    "p5_grid": f"""WITH {INSTANTS}, a AS (SELECT 'bars.close' AS field, {_SRC}, ts_us AS t, "close" AS v, bar_id AS version FROM bars JOIN inst USING (bar_id) WHERE ts_us <> -1 AND "close" IS NOT NULL
+ UNION ALL SELECT metric, {_SRC}, epoch_us(p.t), p.v, chunk_id FROM (SELECT metric, {_SRC}, chunk_id, unnest(list_transform(range(1, len(timestamps) + 1), lambda i: {{'t': timestamps[i], 'v': vals[i], 'm': availability_mask IS NULL OR availability_mask[i]}})) AS p FROM metric_series) WHERE p.v IS NOT NULL AND p.m),
+rd AS (SELECT *, t // step AS slot, lead(t) OVER (PARTITION BY field, {_SRC} ORDER BY t, version) AS nxt FROM (SELECT *, {_TF} AS step FROM a)),
+cl AS (SELECT *, unnest(range(slot, greatest(slot, coalesce((nxt - 1) // step, slot)) + 1)) AS cell FROM rd),
+hd AS (SELECT *, greatest(0, least(coalesce(least(nxt, t + step), (slot + 1) * step), (cell + 1) * step) - greatest(t, cell * step)) AS held FROM cl)
+SELECT field, {_SRC}, CAST(cell * step AS BIGINT) AS slot_us, CAST(sum(CAST(cell = slot AS BIGINT)) AS BIGINT) AS n_readings, round(CASE WHEN sum(held) > 0 THEN sum(v * held) / sum(held) END, 6) AS avg, round(sum(held) / step, 6) AS coverage FROM hd GROUP BY field, {_SRC}, step, cell""",
 }

@@ -16,7 +16,9 @@ from tickloom import registry
 from tickloom.plans.compile import evaluate, evaluate_split, triggers
 from tickloom.schema import bar_is_valid, derived, nan_to_null, to_instant
 from tickloom.sources.records import from_json, points, to_json
-from tickloom.streaming.stream import Node, Stepper
+from tickloom.streaming.expressions import ExpressionStream
+from tickloom.streaming.stream import clock_bars
+from tickloom.util import shared_folder
 
 # -- Spark side
 
@@ -298,8 +300,9 @@ def collapse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trades_filter_sum(spark: SparkSession, d: str) -> DataFrame:
-    t = evaluate(B.trades_from_lineitem(spark, d).withColumnsRenamed({"amount": "trades_amount", "price": "trades_price"}), n="trades.filter(amount > 40).count(price)", top="trades.filter(amount > 40).max(price)")
-    return t.select("symbol", F.col("n").cast("long").alias("n"), "top").distinct()
+    t = B.trades_from_lineitem(spark, d).withColumnsRenamed({"amount": "trades_amount", "price": "trades_price"})
+    t = evaluate(t, n="trades.filter(amount > 40).count(price)", total="trades.filter(amount > 40).sum(price)", top="trades.filter(amount > 40).max(price)")
+    return t.groupBy("symbol").agg(F.max("n").cast("long").alias("n"), F.round(F.max("total"), 2).alias("total"), F.max("top").alias("top"))
 
 
 def derived_fields(spark: SparkSession, d: str) -> DataFrame:
@@ -367,28 +370,53 @@ def bar_checks(spark: SparkSession, d: str) -> DataFrame:
 def loose_instants(spark: SparkSession, d: str) -> DataFrame:
     """Numbers of any unit and ISO texts as instants."""
     li = spark.read.parquet(f"{d}/liquidations.parquet").where("timestamp is not null").select("liquidation_id", F.unix_micros("timestamp").alias("u"))
-    n = F.pmod("liquidation_id", F.lit(4))
-    text = F.when(n == 0, F.floor(F.col("u") / 1_000_000).cast("string")).when(n == 1, F.floor(F.col("u") / 1000).cast("string")).when(n == 2, F.col("u").cast("string")).otherwise(F.date_format(F.timestamp_micros("u"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    return li.select("liquidation_id", F.floor(F.unix_micros(to_instant(text)) / 1_000_000).alias("second"))
+    n, u = F.pmod("liquidation_id", F.lit(5)), F.col("u")
+    text = F.when(n == 0, F.call_function("div", u, F.lit(1_000_000)).cast("string")).when(n == 1, F.call_function("div", u, F.lit(1000)).cast("string")).when(n == 2, u.cast("string")).when(n == 3, F.concat(u.cast("string"), F.lit("123"))).otherwise(F.date_format(F.timestamp_micros("u"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return li.select("liquidation_id", F.unix_micros(to_instant(text)).alias("us"))
+
+
+def _streamed(spark: SparkSession, df: DataFrame, parts: int) -> DataFrame:
+    """A stream of a frame with ``ts``, one file after the other in order of time."""
+    root = shared_folder(spark, "stream")
+    df.write.parquet(f"{root}/all")
+    df = spark.read.parquet(f"{root}/all")
+    lo, hi = df.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    part = F.least(F.floor((F.unix_micros("ts") - (lo or 0)) * parts / F.lit(max(1, (hi or 0) - (lo or 0)))), F.lit(parts - 1))
+    for i in range(parts):
+        df.where(part == i).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
 
 
 def stream_rsi(spark: SparkSession, d: str) -> DataFrame:
-    """RSI and EMA by stepping a saved and restored state bar by bar, key by key, as a stream does."""
-    nodes = (Node("rsi", "rsi", (14,)), Node("ema", "ema", (20,)))
+    """Expressions over a stream of bars, in several micro-batches that hand on their state."""
+    s = ExpressionStream(spark, shared_folder(spark, "expressions")).register("rsi", "rsi(14)").register("ema", "ema(20)")
+    bars = B.bars_from_events(spark, d)
+    s.start(_streamed(spark, bars, 4), availableNow=True).awaitTermination()
+    return result(s.results(), "rsi", "ema")
+
 
-    def step(pdf):
-        import pandas as pd
+def stream_clock_bars(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly bars from a stream of single prices; those whose hour has passed by the delay."""
+    ticks = spark.read.parquet(f"{d}/events.parquet").where("value is not null and ts is not null").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+    root = shared_folder(spark, "clock")
+    bars = clock_bars(_streamed(spark, ticks, 1), "event_type", "ts", "value", F.round(F.col("value") * 100).cast("long"), tie="event_id")
+    bars.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    schema = "symbol string, ts timestamp, open double, high double, low double, close double, volume long"
+    return result(spark.read.schema(schema).parquet(f"{root}/out").withColumn("volume", F.col("volume") / 100), "open", "high", "low", "close", "volume")
 
-        stepper, rows = Stepper(*nodes), []
-        for i, bar in enumerate(pdf.sort_values("ts").to_dict("records")):
-            if i % 50 == 49:  # as after a restart
-                saved, stepper = stepper.snapshot(), Stepper(*nodes)
-                stepper.restore(saved)
-            rows.append((bar["symbol"], bar["ts"], *stepper.step(bar).values()))
-        return pd.DataFrame(rows, columns=["symbol", "ts", "rsi", "ema"])
 
-    out = B.bars_from_events(spark, d).select("symbol", "ts", "close").groupBy("symbol").applyInPandas(step, "symbol string, ts timestamp, rsi double, ema double")
-    return result(out, "rsi", "ema")
+def two_sources(spark: SparkSession, d: str) -> DataFrame:
+    """An expression over bars and trades of the same keys and hours."""
+    events = spark.read.parquet(f"{d}/events.parquet").where("value is not null and ts is not null")
+    trades = events.groupBy(F.col("event_type").alias("symbol"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("ts")).agg(F.count(F.lit(1)).cast("double").alias("volume"))
+    trades = trades.select("symbol", F.lit("1h").alias("timeframe"), F.lit("trades").alias("source"), "ts", "volume")
+    return result(evaluate(B.BarSet(B.bars_from_events(spark, d), trades=trades), "sma(trades.volume, 5) + close"), "value")
+
+
+def shift_4h(spark: SparkSession, d: str) -> DataFrame:
+    """A day back on bars of four hours: six bars."""
+    bars = B.resample_clock(B.bars_from_events(spark, d), "4h")
+    return result(evaluate(bars, "close - close.ago('24h')", timeframe="4h"), "value")
 
 
 def split_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -396,6 +424,11 @@ def split_windows(spark: SparkSession, d: str) -> DataFrame:
     return result(evaluate_split(B.bars_from_events(spark, d), 100, value="sma(close, 20) + hma(9) - close.ago('3h')"), "value")
 
 
+def split_recurrences(spark: SparkSession, d: str) -> DataFrame:
+    """A mean that forgets, over keys that are cut into pieces."""
+    return result(evaluate_split(B.bars_from_events(spark, d), 400, value="ema(5)"), "value")
+
+
 EXPRESSIONS: dict[str, tuple[str, str]] = {
     "expr_trend_and_momentum": ("(sma(20) > sma(50)) and (rsi(14) < 30)", sql({"value": "!coalesce(m > n, false) AND coalesce(CASE WHEN s = 0 THEN CASE WHEN g > 0 THEN 100.0 ELSE 50.0 END ELSE 100 - 100 / (1 + g / s) END < 30, false)"}, {"d": f"{C} - {lag(C)}", "m": roll("avg", C, 20), "n": roll("avg", C, 50)}, {"lg": upto("CASE WHEN d IS NULL THEN NULL ELSE greatest(d, 0) END"), "ls": upto("CASE WHEN d IS NULL THEN NULL ELSE greatest(-d, 0) END")}, {"fg": "list_filter(lg, lambda x: x IS NOT NULL)", "fs": "list_filter(ls, lambda x: x IS NOT NULL)"}, {"g": wilder("fg", 14), "s": wilder("fs", 14)})),
     "expr_money_flow": ("((close - low) - (high - close)) / (high - low) * volume", sql({"value": f"({safe(f'({C} - low) - (high - {C})', 'high - low', '0.0')}) * volume"})),
@@ -431,7 +464,7 @@ QUERIES |= {n: partial(expression, t) for n, (t, _) in EXPRESSIONS.items()}
 QUERIES |= {f"downsample_{h}": partial(downsample, h) for h in B.AGGREGATES}
 QUERIES |= {f"sync_{h}": partial(sync, h) for h in ("ffill", "linear")}
 QUERIES |= {"align_inner": partial(align, "inner", "none"), "align_outer_ffill": partial(align, "outer", "ffill"), "align_left": partial(align, "left", "none"), "align_right": partial(align, "right", "none")}
-QUERIES |= {f.__name__: f for f in (downsample_ohlcv, resample, resample_clock, upsample, trim, collapse, trades_filter_sum, derived_fields, catalog, crossings, ref, slice_time, filter_rows, dataset_info, append_rows, series_points, json_round_trip, bar_checks, loose_instants, stream_rsi, split_windows)}
+QUERIES |= {f.__name__: f for f in (downsample_ohlcv, resample, resample_clock, upsample, trim, collapse, trades_filter_sum, derived_fields, catalog, crossings, ref, slice_time, filter_rows, dataset_info, append_rows, series_points, json_round_trip, bar_checks, loose_instants, stream_rsi, stream_clock_bars, two_sources, shift_4h, split_recurrences, split_windows)}
 QUERIES |= {n: partial(operator, n, p) for n, p in (("fib_retracement", {}), ("fib_anchor_high", {}), ("fib_anchor_low", {}), ("fib_level_down", {"level": 0.5}), ("fib_level_up", {"level": 0.5}))}
 
 _DOWN = {"first": "arg_min({c}, rn)", "last": "arg_max({c}, rn)", "mean": "avg({c})", "sum": "sum({c})", "max": "max({c})", "min": "min({c})"}
@@ -454,7 +487,7 @@ ORACLES |= {
     "upsample": f"WITH {BARS}, n AS (SELECT *, {lag('1', -1)} IS NULL AS z FROM b) SELECT symbol, epoch_us(ts) AS ts_us, round({C}, 6) AS {C}, CAST(copy AS INT) AS copy FROM n, unnest(range(CASE WHEN z THEN 1 ELSE 3 END)) AS u(copy)",
     "trim": f"WITH {BARS} SELECT symbol, epoch_us(ts) AS ts_us, round({C}, 6) AS {C} FROM b WHERE rn > 10",
     "collapse": f"WITH {BARS} SELECT symbol, count({C}) AS n, round(sum({C}), 6) AS total, round(avg({C}), 6) AS mean, max({C}) AS top, min({C}) AS bottom FROM b GROUP BY symbol",
-    "trades_filter_sum": "SELECT l_returnflag AS symbol, count(CASE WHEN l_quantity > 40 THEN l_extendedprice END) AS n, max(CASE WHEN l_quantity > 40 THEN l_extendedprice END) AS top FROM lineitem GROUP BY 1",
+    "trades_filter_sum": "SELECT l_returnflag AS symbol, count(CASE WHEN l_quantity > 40 THEN l_extendedprice END) AS n, round(sum(CASE WHEN l_quantity > 40 THEN l_extendedprice END), 2) AS total, max(CASE WHEN l_quantity > 40 THEN l_extendedprice END) AS top FROM lineitem GROUP BY 1",
     "derived_fields": sql({"hlc3": "tp", "ohlc4": f"(open + high + low + {C}) / 4", "hl2": "mid", "range": "high - low", "upper_wick": f"high - greatest(open, {C})", "lower_wick": f"least(open, {C}) - low", "body_size": f"abs({C} - open)"}),
     "crossings": f"WITH {BARS}, s AS (SELECT *, {roll('avg', C, 20)} AS m FROM b), t AS (SELECT *, {lag(C)} AS c1, {lag('m')} AS m1 FROM s) SELECT symbol, epoch_us(ts) AS ts_us, round({C}, 6) AS {C}, round(m, 6) AS mean FROM t WHERE {C} > m AND c1 <= m1",
     "ref": f"WITH {BARS}, f AS (SELECT symbol, date_trunc('day', ts) AS ts, arg_max({C}, ts) AS value FROM b GROUP BY 1, 2), z AS (SELECT symbol, arg_min(value, ts) AS v0 FROM f GROUP BY symbol) SELECT b.symbol, epoch_us(b.ts) AS ts_us, round(b.{C}, 6) AS {C}, round(coalesce(f.value, z.v0), 6) AS value FROM b ASOF LEFT JOIN f ON b.symbol = f.symbol AND b.ts >= f.ts JOIN z ON z.symbol = b.symbol",
@@ -465,8 +498,12 @@ ORACLES |= {
     "series_points": f"WITH {BARS}, s AS (SELECT *, {roll('max', C, 30)} AS v FROM b) SELECT symbol, epoch_us(ts) AS ts_us, v AS value, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS time FROM s WHERE v IS NOT NULL",
     "json_round_trip": sql({c: '"close"' if c == "close" else c for c in ("open", "high", "low", "close", "volume")}).replace("AS close", 'AS "close"'),
     "bar_checks": "WITH x AS (SELECT symbol, CASE WHEN isnan(open) THEN NULL ELSE open END AS o, high AS h, low AS l, \"close\" AS c, volume AS v FROM bars), y AS (SELECT symbol, h >= l AND h >= greatest(o, c) AND l <= least(o, c) AND v >= 0 AS ok FROM x) SELECT symbol, count(CASE WHEN ok THEN 1 END) AS valid, count(CASE WHEN NOT ok THEN 1 END) AS invalid FROM y GROUP BY symbol",
-    "loose_instants": "SELECT liquidation_id, CAST(floor(epoch_us(timestamp) / 1000000) AS BIGINT) AS second FROM liquidations WHERE timestamp IS NOT NULL",
+    "loose_instants": "SELECT liquidation_id, CASE liquidation_id % 5 WHEN 1 THEN u // 1000 * 1000 WHEN 2 THEN u WHEN 3 THEN u ELSE u // 1000000 * 1000000 END AS us FROM (SELECT liquidation_id, epoch_us(timestamp) AS u FROM liquidations WHERE timestamp IS NOT NULL)",
     "stream_rsi": sql({"rsi": "CASE WHEN g IS NULL THEN NULL WHEN s = 0 THEN CASE WHEN g > 0 THEN 100.0 ELSE 50.0 END ELSE 100 - 100 / (1 + g / s) END", "ema": smooth("l", 2 / 21)}, {"d": f"{C} - {lag(C)}", "l": upto(C)}, {"lg": upto("CASE WHEN d IS NULL THEN NULL ELSE greatest(d, 0) END"), "ls": upto("CASE WHEN d IS NULL THEN NULL ELSE greatest(-d, 0) END")}, {"fg": "list_filter(lg, lambda x: x IS NOT NULL)", "fs": "list_filter(ls, lambda x: x IS NOT NULL)"}, {"g": wilder("fg", 14), "s": wilder("fs", 14)}),
+    "stream_clock_bars": f"WITH {BARS} SELECT symbol, epoch_us(ts) AS ts_us, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round({C}, 6) AS {C}, round(volume, 6) AS volume FROM b WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events WHERE value IS NOT NULL)",
+    "two_sources": f"WITH {BARS}, t AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, CAST(count(*) AS DOUBLE) AS v FROM events WHERE value IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2), x AS (SELECT b.*, t.v FROM b LEFT JOIN t USING (symbol, ts)) SELECT symbol, epoch_us(ts) AS ts_us, round(CASE WHEN count(v) OVER w = 5 THEN avg(v) OVER w END + {C}, 6) AS value FROM x WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 4 PRECEDING)",
+    "shift_4h": f"WITH {BARS}, f AS (SELECT symbol, time_bucket(INTERVAL 4 HOUR, ts) AS ts, arg_max({C}, ts) AS v FROM b GROUP BY 1, 2) SELECT symbol, epoch_us(ts) AS ts_us, round(v - lag(v, 6) OVER (PARTITION BY symbol ORDER BY ts), 6) AS value FROM f",
+    "split_recurrences": sql({"value": smooth("l", 2 / 6)}, {"l": upto(C)}),
     "split_windows": sql({"value": f"({roll('avg', C, 20)}) + ({wma_sql('x', 3)}) - {lag(C, 3)}"}, {"a": wma_sql(C, 4), "z": wma_sql(C, 9)}, {"x": "2 * a - z"}),
     "sync_ffill": f"WITH {_FOUR}, z AS (SELECT symbol, arg_min(value, ts) AS v0 FROM f GROUP BY symbol) SELECT b.symbol, epoch_us(b.ts) AS ts_us, round(coalesce(f.value, z.v0), 6) AS value FROM b ASOF LEFT JOIN f ON b.symbol = f.symbol AND b.ts >= f.ts JOIN z ON z.symbol = b.symbol",
     "sync_linear": f"WITH {_FOUR}, p AS (SELECT b.symbol, b.ts, f.ts AS t0, f.value AS v0 FROM b ASOF LEFT JOIN f ON b.symbol = f.symbol AND b.ts >= f.ts), q AS (SELECT p.*, f.ts AS t1, f.value AS v1 FROM p ASOF LEFT JOIN f ON p.symbol = f.symbol AND p.ts <= f.ts) SELECT symbol, epoch_us(ts) AS ts_us, round(CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL OR t0 = t1 THEN v0 ELSE v0 + (v1 - v0) * ((epoch_us(ts) - epoch_us(t0)) / (epoch_us(t1) - epoch_us(t0))) END, 6) AS value FROM q",

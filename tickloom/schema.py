@@ -96,7 +96,7 @@ def timeframe_minutes(tf: str) -> int:
 
 def to_instant(raw: Column) -> Column:
     """A timestamp from text or a number; the unit of a number follows from its size."""
-    n = raw.try_cast("double")
+    n = raw.cast("string").try_cast("decimal(28,9)")  # no digit is lost, as in a double
     size = F.abs(n)
-    micros = n * F.when(size < 1e10, 1e6).when(size < 1e13, 1e3).when(size < 1e16, 1.0).otherwise(1e-3)
+    micros = F.when(size < 1e10, n * 1_000_000).when(size < 1e13, n * 1000).when(size < 1e16, n).otherwise(F.call_function("div", n, F.lit(1000)))
     return F.when(n.isNotNull(), F.timestamp_micros(micros.cast("long"))).otherwise(raw.cast("string").try_cast("timestamp"))

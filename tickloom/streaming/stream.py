@@ -127,10 +127,10 @@ def deduplicated(bars: DataFrame, delay: str = "1 hour") -> DataFrame:
     return bars.withWatermark("ts", delay).dropDuplicatesWithinWatermark([*KEYS, "ts"])
 
 
-def clock_bars(ticks: DataFrame, symbol: str, ts: str, price: str, size: Any, every: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """Bars from a stream of single prices; a bar comes out when its time has passed by ``delay``."""
+def clock_bars(ticks: DataFrame, symbol: str, ts: str, price: str, size: Any, every: str = "1 hour", delay: str = "1 hour", tie: str | None = None) -> DataFrame:
+    """Bars from a stream of single prices; a bar comes out when its time has passed by ``delay``. Prices of one instant go by ``tie``, else by price."""
     t = ticks.withWatermark(ts, delay)
-    at = F.struct(F.col(ts))
+    at = F.struct(F.col(ts), F.col(tie or price))
     g = t.groupBy(F.col(symbol).alias("symbol"), F.window(ts, every).alias("w")).agg(F.min_by(price, at).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, at).alias("close"), F.sum(size).alias("volume"))
     return g.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
