@@ -12,7 +12,7 @@ from tickloom.operators.spikes import Level, Wick, flag_implausible, flagged
 from tickloom.operators.timestamps import is_plain, normalize_timestamps
 from tickloom.operators.trailing import trailing_totals
 from tickloom.queries_data_sql import ORACLES as ORACLES
-from tickloom.util import SECOND, table, timeframe_us
+from tickloom.util import SECOND, table, timeframe_us, written
 
 SOURCE = ["symbol", "exchange", "shard", "timeframe"]
 
@@ -66,6 +66,8 @@ def p5_grid(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     bars = bars_with_instants(spark, d).withColumn("arrived", F.unix_micros("received_at") - F.coalesce(timeframe_us(F.col("timeframe")), F.lit(0)))
+    # the operator reads its rows twice, to count and to cut them: their instants are worked out once
+    bars = written(bars.select(*SOURCE, "ts_us", "bar_id", "open", "high", "low", "close", "volume", "arrived"), "instants")
     b = flag_implausible(bars, SOURCE, "ts_us", "bar_id", [Wick("high"), Wick("low"), Level("volume", floor=0.35)], "arrived")
     book = table(spark, d, "orderbook").select("symbol", "exchange", "shard", F.unix_micros("timestamp").alias("ts_us"), F.unix_micros("received_at").alias("arrived"), "book_id", "spread_bps")
     o = flag_implausible(book, SOURCE[:3], "ts_us", "book_id", [Level("spread_bps", top=20_000.0)], "arrived")
