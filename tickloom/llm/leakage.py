@@ -10,7 +10,7 @@ looking up each block finds all of them. Candidates are then verified by the exa
 similarity of their weighted shingles (shared over all, with multiplicity); at similarity 1
 the units must also be the same in the same order.
 
-The items are a stated query set: up to ``block_items`` are collected, indexed and broadcast (some 5 KB an item of a hundred
+The items are a stated query set: up to ``block_items`` are collected, indexed and broadcast (some 7 KB an item of a hundred
 words), and the documents are read once; more are taken in blocks, and the documents read once a block. A document
 is one row in one task, whatever its length; documents are not shuffled.
 
