@@ -492,12 +492,11 @@ def exit_(b: Build, price: Source = "close", upper: Source | float = "high", low
 
 def _pivot(b: Build, x: Column, left: int, right: int, high: bool, equal: bool) -> Column:
     """Raw pivots, at their own row."""
-    w = b.around(left, right)
-    best = (F.max if high else F.min)(x).over(w)
-    rows = F.collect_list(x).over(w)
-    full = F.size(rows) == left + right + 1
-    single = F.lit(True) if equal else F.size(F.filter(rows, lambda v: v == best)) == 1
-    return b.let(F.coalesce(full & (x == best) & single, F.lit(False)))
+    best = F.max if high else F.min
+    full = F.count(x).over(b.around(left, right)) == left + right + 1
+    before, after = best(x).over(b.around(left, -1)), best(x).over(b.around(-1, right))
+    beats = (lambda y: x >= y if equal else x > y) if high else (lambda y: x <= y if equal else x < y)
+    return b.let(F.coalesce(full & beats(before) & beats(after), F.lit(False)))
 
 
 def _swings(b: Build, left: int, right: int, allow_equal_extremes: bool, gate_lows: bool = True) -> tuple[Column, Column]:
