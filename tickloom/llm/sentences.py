@@ -62,6 +62,7 @@ TERMINAL = re.compile(r"[.!?…。！？｡।॥؟۔።‼⁇⁈⁉]++" + GOES_
 GREEK_TERMINAL = re.compile("(?:[.!?…]++|(?<=[\u0370-\u03ff\u1f00-\u1fff])[;\u037e])" + GOES_ON)
 #: Where a block has no capitals at all, small letters tell nothing.
 UNCASED_TERMINAL = re.compile(r"[.!?…。！？｡।॥؟۔።‼⁇⁈⁉]++(?!\d)")
+ANY_TERMINAL = re.compile(r"[.!?…。！？｡।॥؟۔።‼⁇⁈⁉]")
 GREEK = re.compile("[α-ω]")
 CLOSING = re.compile("[”’'»›)\\]」』）】》〉]*(?:[ ]»)?[)\\]」』）】]*")
 PAIRS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", '"': '"', "（": "）", "(": ")", "[": "]"}
@@ -284,8 +285,12 @@ def _recased(p: Place) -> Place:
 def _read(plain: str) -> Iterator[tuple[int, str, int, str, list[Place], Place | None]]:
     """(start, block, end of its number, script, places, final place) of each block."""
     greek = GREEK_TERMINAL if not plain.isascii() and GREEK.search(plain) else TERMINAL
+    by_marks = greek is TERMINAL and (plain.isascii() or not SPACE_ENDED.search(plain))
     for a, z in blocks(plain):
         s = plain[a:z].replace("\n", " ")
+        if by_marks and not ANY_TERMINAL.search(s):  # a heading, a name: no places
+            yield a, s, 0, "l", [], None
+            continue
         body = _number_end(s)
         script = "l" if s.isascii() else script_of(s, body)
         small = s.islower()
