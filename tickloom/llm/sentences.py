@@ -162,8 +162,8 @@ Right = tuple[str, str, str, bool, str]
 Place = tuple[int, int, Left, Right | None]
 
 
-def places(s: str, body: int, script: str, terminal: re.Pattern = TERMINAL, flat: bool = False) -> tuple[list[Place], Place | None]:
-    """Every place within the block where a unit could end, and the end of the block if it is one.
+def places(s: str, body: int, script: str, terminal: re.Pattern = TERMINAL, flat: bool = False, last: bool = True) -> tuple[list[Place], Place | None]:
+    """Every place within the block where a unit could end, and (``last``) the end of the block if it is one.
 
     ``s`` has plain spaces only; ``body`` is where its number ends; ``flat``: all its letters are of one case. The span is the
     kind of what closes at the place: ``quote-first``, ``quote``, ``bracket-first``, ``bracket`` or nothing.
@@ -200,6 +200,8 @@ def places(s: str, body: int, script: str, terminal: re.Pattern = TERMINAL, flat
         done = nxt = end
         while nxt < n and s[nxt] == " ":
             nxt += 1
+        if nxt >= n and not last:
+            break
         marks = s[a:z]
         if dense:
             w1, w0 = s[max(body, a - 2) : z], s[max(body, a - 4) : max(body, a - 2)]
@@ -230,10 +232,10 @@ def places(s: str, body: int, script: str, terminal: re.Pattern = TERMINAL, flat
                 w3 = fold[(s[stop + 1 :] if stop2 < 0 else s[stop + 1 : stop2]).rstrip(TAIL)]
         if nxt == end and marks[-1] not in FULL:
             # a space is missing: only a word that ended before a capital
-            x, y, last = w2[:1], w2[1:2], w1[-2:-1]
+            x, y, ends = w2[:1], w2[1:2], w1[-2:-1]
             if flat:
-                x, y, last = x.upper(), y.lower(), last.lower()
-            if not x.isupper() or not span and not (y.islower() and (marks[-1] in "!?" or last.islower() or last in "9)]%")):
+                x, y, ends = x.upper(), y.lower(), ends.lower()
+            if not x.isupper() or not span and not (y.islower() and (marks[-1] in "!?" or ends.islower() or ends in "9)]%")):
                 continue
         since = nxt
         out.append((end, tokens, (script, w0, w1, marks, span), (script, w2, w3, word > nxt, span)))
@@ -282,7 +284,7 @@ def _recased(p: Place) -> Place:
     return end, tokens, (script, w0.lower(), w1.lower(), *rest), right
 
 
-def _read(plain: str) -> Iterator[tuple[int, str, int, str, list[Place], Place | None]]:
+def _read(plain: str, last: bool = True) -> Iterator[tuple[int, str, int, str, list[Place], Place | None]]:
     """(start, block, end of its number, script, places, final place) of each block."""
     greek = GREEK_TERMINAL if not plain.isascii() and GREEK.search(plain) else TERMINAL
     by_marks = greek is TERMINAL and (plain.isascii() or not SPACE_ENDED.search(plain))
@@ -295,7 +297,7 @@ def _read(plain: str) -> Iterator[tuple[int, str, int, str, list[Place], Place |
         script = "l" if s.isascii() else script_of(s, body)
         small = s.islower()
         flat = small or s.isupper()
-        found, final = places(s, body, script, UNCASED_TERMINAL if small else greek, flat)
+        found, final = places(s, body, script, UNCASED_TERMINAL if small else greek, flat, last)
         if flat:
             found, final = [_recased(p) for p in found], final and _recased(final)
         yield a, s, body, script, found, final
@@ -495,7 +497,7 @@ def units(text: str, model: Model, forward_backward: bool = True) -> list[tuple[
     """(start, end) of the units of a text, in code points."""
     out = []
     odds = model.odds
-    for a, s, _, script, found, _ in _read(spaced(text)):
+    for a, s, _, script, found, _ in _read(spaced(text), False):
         ends: list[int] = []
         if found:
             yes = model.decide(script, [odds(p[2], p[3]) for p in found], [p[1] for p in found], forward_backward)
